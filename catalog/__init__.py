@@ -1,0 +1,6 @@
+"""Registered queries, grouped by subject."""
+
+from catalog import inputs  # noqa: F401
+from catalog.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

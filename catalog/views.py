@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cellweft.operators.ordering import bucketed_rank
+
 
 def table(spark: SparkSession, sf: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf}/{name}.parquet")
@@ -92,6 +94,12 @@ def signatures(spark, sf):
               .agg(F.sum("l_quantity").alias("q")).filter("q >= 150").select("lineage", "gene"))
 
 
+def common_genes(spark, sf):
+    """Genes that more than an average number of lineages list."""
+    n = signatures(spark, sf).groupBy("gene").agg(F.count(F.lit(1)).alias("n"))
+    return n.filter("n >= 22").select("gene")
+
+
 def dense_cells(spark, sf):
     e = table(spark, sf, "embeddings", "vec_id", "embedding", "label")
     return e.select(F.col("label").cast("string").alias("sample_id"), F.col("vec_id").alias("cell_id"),
@@ -114,8 +122,9 @@ def doc_terms(spark, sf):
 
 def metrics(spark, sf):
     e = table(spark, sf, "events", "event_id", "ts", "user_id", "value")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return e.select(F.col("user_id").alias("run_id"), (F.row_number().over(w) - 1).alias("step"), "value")
+    day = F.floor(F.unix_timestamp("ts") / 86400)
+    ranked = bucketed_rank(e.withColumn("_day", day), ["user_id"], ["_day"], [F.col("ts"), F.col("event_id")], "rn")
+    return ranked.select(F.col("user_id").alias("run_id"), (F.col("rn") - 1).alias("step"), "value")
 
 
 GENE150 = "upper(p_type) || '-' || replace(p_brand, 'Brand#', 'B')"
@@ -145,6 +154,7 @@ SQL = {
     "program_names": """SELECT program_id, CAST(program_id + 1 AS VARCHAR) || '_' || gene AS name FROM program_ids""",
     "signatures": f"""SELECT l_suppkey AS lineage, {GENE150} AS gene FROM lineitem JOIN part ON l_partkey = p_partkey
         GROUP BY ALL HAVING sum(l_quantity) >= 150""",
+    "common_genes": "SELECT gene FROM signatures GROUP BY 1 HAVING count(*) >= 22",
     "dense_cells": """SELECT CAST(label AS VARCHAR) AS sample_id, vec_id AS cell_id, CAST(embedding[1] AS DOUBLE) AS x,
         CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings""",
     "dense_expression": """SELECT sample_id, cell_id, 'G' || lpad(CAST(g AS VARCHAR), 2, '0') AS gene, abs(v) AS value
@@ -159,7 +169,7 @@ SQL = {
 NEEDS = {
     "cells": ["manifest"], "expression": ["cells"], "expression6": ["cells"], "expression25": ["cells"],
     "fractions": ["expression6", "program_ids"], "programs": ["program_ids"], "program_names": ["program_ids"],
-    "dense_expression": ["dense_cells"],
+    "dense_expression": ["dense_cells"], "common_genes": ["signatures"],
 }
 
 
@@ -176,5 +186,5 @@ def oracle(body: str, *views: str, steps: dict[str, str] | None = None) -> str:
     for v in views:
         add(v)
     ctes = [f"{v} AS MATERIALIZED ({SQL[v]})" for v in done]
-    ctes += [f"{n} AS MATERIALIZED ({q})" for n, q in (steps or {}).items()]
-    return f"WITH {', '.join(ctes)} {body}"
+    ctes += [f"{n} AS {'' if n.startswith('rec_') else 'MATERIALIZED '}({q})" for n, q in (steps or {}).items()]
+    return f"WITH RECURSIVE {', '.join(ctes)} {body}" if ctes else body

@@ -53,7 +53,7 @@ def log_cosh(x: Column) -> Column:
 
 def t_two_sided_p(t: Column, df: Column) -> Column:
     """Two-sided Student-t p-value for whole degrees of freedom, by the finite series."""
-    theta = F.atan(F.abs(t) / F.sqrt(df))
+    theta = F.atan(F.try_divide(F.abs(t), F.sqrt(df)))
     s, c2 = F.sin(theta), F.cos(theta) * F.cos(theta)
     odd = df % 2 == 1
     terms = F.when(odd, F.floor((df - 3) / 2)).otherwise(F.floor((df - 2) / 2)).cast("int")
