@@ -132,7 +132,7 @@ META = {
     "loo0": """SELECT a."Interface", a."Patient_ID", avg(b."Log2_Enrichment") AS m, stddev_samp(b."Log2_Enrichment") AS sd, count(*) AS c
         FROM pm a JOIN pm b ON a."Interface" = b."Interface" AND a."Patient_ID" <> b."Patient_ID" GROUP BY 1, 2""",
     "loo1": f"""SELECT l."Interface", count(*) FILTER (WHERE m*effect > 0 AND (c = 1 OR
-            {t_p('(m/(sd/(sqrt(c)+1e-9)+1e-9))', '(c-1)')} < 0.05)) AS kept FROM loo0 l JOIN eff0 USING ("Interface") GROUP BY 1""",
+            {t_p('(m/(l.sd/(sqrt(c)+1e-9)+1e-9))', '(c-1)')} < 0.05)) AS kept FROM loo0 l JOIN eff0 USING ("Interface") GROUP BY 1""",
     "loo": """SELECT "Interface", CASE WHEN k = 1 THEN '1/1' ELSE CAST(kept AS VARCHAR) || '/' || CAST(k AS VARCHAR) END AS "LOPO_Robustness"
         FROM eff0 LEFT JOIN loo1 USING ("Interface")""",
     "meta": """SELECT "Interface", round(effect, 3) AS "Pooled_Log2_Enrichment", round(se, 3) AS "Cross_Patient_SE",

@@ -111,9 +111,14 @@ def cluster_cells(placed: DataFrame, sizes: DataFrame, rounds: int = 10, part_ro
                          .withColumn("_part", F.pmod(F.xxhash64(CELL), F.col("_parts")).cast("int")))
     first = hash_rank(cells, [SAMPLE], CELL, seed).filter(F.col("rn") <= F.col("n_clusters"))
     centres = settle(first.select(SAMPLE, (F.col("rn") - 1).cast("int").alias("cluster"), F.col("pc").alias("centre")))
-    reach = cells.select(SAMPLE, "_parts").distinct().select(SAMPLE, F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
+    reach = settle(cells.select(SAMPLE, "_parts").distinct()
+                        .select(SAMPLE, F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part")))
     slot = [SAMPLE, "_part"]
 
+    def spread():
+        t = centres.join(reach, SAMPLE).select(*slot, "cluster", "centre")
+        return t.toDF("_s", "_p", "cluster", "centre").groupBy("_s", "_p")
+
     def nearest(left, right):
         x, c = np.stack(left["pc"].to_numpy()), np.stack(right["centre"].to_numpy())
         best = np.empty(len(x), dtype=np.int64)
@@ -134,14 +139,14 @@ def cluster_cells(placed: DataFrame, sizes: DataFrame, rounds: int = 10, part_ro
         return left[[SAMPLE, CELL]].assign(cluster=nearest(left, right)[1] if len(left) else [])
 
     for _ in range(rounds):
-        sums = (cells.groupBy(*slot).cogroup(centres.join(reach, SAMPLE).groupBy(*slot))
+        sums = (cells.groupBy(*slot).cogroup(spread())
                      .applyInPandas(totals, "sample_id string, cluster int, n long, total array<double>"))
         means = (sums.select(SAMPLE, "cluster", "n", F.posexplode("total").alias("i", "t")).groupBy(SAMPLE, "cluster", "i")
                      .agg((F.sum("t") / F.sum("n")).alias("m")).groupBy(SAMPLE, "cluster")
                      .agg(F.sort_array(F.collect_list(F.struct("i", "m"))).alias("r")).select(SAMPLE, "cluster", F.col("r.m").alias("_new")))
         centres = settle(centres.join(means, [SAMPLE, "cluster"], "left")
                                 .select(SAMPLE, "cluster", F.coalesce("_new", "centre").alias("centre")))
-    found = (cells.groupBy(*slot).cogroup(centres.join(reach, SAMPLE).groupBy(*slot))
+    found = (cells.groupBy(*slot).cogroup(spread())
                   .applyInPandas(label, "sample_id string, cell_id long, cluster int"))
     return settle(placed.join(found, [SAMPLE, CELL]))
 
