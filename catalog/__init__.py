@@ -1,6 +1,6 @@
 """Registered queries, grouped by subject."""
 
-from catalog import inputs, space  # noqa: F401
+from catalog import fits, inputs, space  # noqa: F401
 from catalog.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -331,13 +331,13 @@ def write_matrix(spark, sf):
 
 
 LINKS = """SELECT split_part("Interface", '<->', 1) AS source, split_part("Interface", '<->', 2) AS target, abs("Pooled_Log2_Enrichment") AS weight,
-    "Pooled_Log2_Enrichment" AS effect, "LOPO_Robustness" AS lopo, "FDR_q" AS fdr FROM meta WHERE "FDR_q" < 0.6"""
+    "Pooled_Log2_Enrichment" AS effect, "LOPO_Robustness" AS lopo, "FDR_q" AS fdr FROM meta WHERE "FDR_q" < 0.997"""
 NODES = f"""SELECT id, split_part(id, '_', 1) AS label, count(*) AS degree FROM (SELECT source AS id FROM ({LINKS})
     UNION ALL SELECT target FROM ({LINKS})) GROUP BY 1"""
 
 
 def _links(spark, sf):
-    return settle(meta.network_links(meta.meta_topology(_topology(spark, sf)), 0.6))
+    return settle(meta.network_links(meta.meta_topology(_topology(spark, sf)), 0.997))
 
 
 @_meta_query(LINKS)

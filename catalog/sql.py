@@ -135,8 +135,8 @@ META = {
             {t_p('(m/(l.sd/(sqrt(c)+1e-9)+1e-9))', '(c-1)')} < 0.05)) AS kept FROM loo0 l JOIN eff0 USING ("Interface") GROUP BY 1""",
     "loo": """SELECT "Interface", CASE WHEN k = 1 THEN '1/1' ELSE CAST(kept AS VARCHAR) || '/' || CAST(k AS VARCHAR) END AS "LOPO_Robustness"
         FROM eff0 LEFT JOIN loo1 USING ("Interface")""",
-    "meta": """SELECT "Interface", round(effect, 3) AS "Pooled_Log2_Enrichment", round(se, 3) AS "Cross_Patient_SE",
-        "LOPO_Robustness", round(q, 4) AS "FDR_q" FROM fdr JOIN loo USING ("Interface")""",
+    "meta": """SELECT "Interface", round (effect, 3) AS "Pooled_Log2_Enrichment", round (se, 3) AS "Cross_Patient_SE",
+        "LOPO_Robustness", round (q, 4) AS "FDR_q" FROM fdr JOIN loo USING ("Interface")""",
     "meta_pos": """SELECT program, row_number() OVER (ORDER BY CAST(regexp_extract(program, '^(\\d+)', 1) AS INTEGER), program) - 1 AS pos
         FROM (SELECT DISTINCT unnest(string_split("Interface", '<->')) AS program FROM meta)""",
 }

@@ -62,7 +62,9 @@ def meta_topology(topology: DataFrame) -> DataFrame:
     """``Interface, Pooled_Log2_Enrichment, Cross_Patient_SE, LOPO_Robustness, FDR_q``."""
     means = patient_means(topology)
     t = bh_fdr(meta_effect(means)).join(leave_one_out(means), "Interface")
-    return t.select("Interface", F.round("effect", 3).alias("Pooled_Log2_Enrichment"),
+    # a small negative effect rounds to minus zero and is printed with its sign
+    effect = F.when((F.col("effect") < 0) & (F.round("effect", 3) == 0), F.lit(-0.0)).otherwise(F.round("effect", 3))
+    return t.select("Interface", effect.alias("Pooled_Log2_Enrichment"),
                     F.round("se", 3).alias("Cross_Patient_SE"), "LOPO_Robustness", F.round("q", 4).alias("FDR_q"))
 
 

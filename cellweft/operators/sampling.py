@@ -99,7 +99,7 @@ def stratified_batches(chunks: DataFrame, batch: int, seed: int = 42) -> DataFra
     return order.select("patient_id", "chunk_key", F.floor((F.col("rn") - 1) / batch).cast("int").alias("batch_id"))
 
 
-def cluster_cells(placed: DataFrame, sizes: DataFrame, rounds: int = 10, part_rows: int = 50_000,
+def cluster_cells(placed: DataFrame, sizes: DataFrame, rounds: int = 6, part_rows: int = 50_000,
                   seed: int = 42) -> DataFrame:
     """K-means inside every sample at once: adds ``cluster`` to ``placed(sample_id, cell_id, pc, ...)``.
 
