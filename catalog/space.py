@@ -352,17 +352,17 @@ def network_degree(spark, sf):
 
 @_meta_query(f"""SELECT n.id AS id, count(*) AS n_shared FROM ({NODES}) n JOIN (SELECT source AS a, target AS b FROM ({LINKS})
     UNION ALL SELECT target, source FROM ({LINKS})) e ON e.b = n.id JOIN ({NODES}) s ON s.id = e.a
-    WHERE s.degree >= 3 AND n.id NOT IN (SELECT id FROM ({NODES}) WHERE degree >= 3) GROUP BY 1 HAVING count(*) >= 2""")
+    WHERE s.label <= '3' AND n.label > '3' GROUP BY 1 HAVING count(*) >= 2""")
 def topology_network(spark, sf):
     links = _links(spark, sf)
-    return meta.shared_neighbours(links, meta.network_nodes(links).filter("degree >= 3"))
+    return meta.shared_neighbours(links, meta.network_nodes(links).filter("label <= '3'"))
 
 
-@_meta_query(f"""SELECT * FROM ({LINKS}) WHERE source IN (SELECT id FROM ({NODES}) WHERE degree >= 3)
-    AND target IN (SELECT id FROM ({NODES}) WHERE degree >= 3)""")
+@_meta_query(f"""SELECT * FROM ({LINKS}) WHERE source IN (SELECT id FROM ({NODES}) WHERE label <= '3')
+    AND target IN (SELECT id FROM ({NODES}) WHERE label <= '3')""")
 def links_between(spark, sf):
     links = _links(spark, sf)
-    return meta.links_between(links, meta.network_nodes(links).filter("degree >= 3"))
+    return meta.links_between(links, meta.network_nodes(links).filter("label <= '3'"))
 
 
 @query()

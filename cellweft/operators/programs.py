@@ -9,6 +9,7 @@ from cellweft.functions import simplex
 from cellweft.functions.scalar import EPS
 from cellweft.operators import qc
 from cellweft.operators.ordering import exact_quantiles, hash_key, hash_rank
+from cellweft.session import settle
 
 SAMPLE, CELL, GENE, PROGRAM = "sample_id", "cell_id", "gene", "program_id"
 
@@ -158,7 +159,7 @@ def entropy_pruning(mass: DataFrame, n_perms: int, quantile: float = 0.01, enabl
     fixed = full.withColumn("rank", F.row_number().over(Window.orderBy(PROGRAM, "patient_id"))).select(PROGRAM, "rank")
     perms = full.select("_at", "mass", F.explode(F.sequence(F.lit(1), F.lit(n_perms))).alias("perm"))
     drawn = perms.withColumn("rank", F.row_number().over(Window.partitionBy("perm").orderBy(hash_key("_at", F.col("perm")), "_at")))
-    null = _entropy(drawn.join(fixed, "rank").select("perm", PROGRAM, "mass"), ["perm", PROGRAM])
+    null = settle(_entropy(drawn.join(fixed, "rank").select("perm", PROGRAM, "mass"), ["perm", PROGRAM]))
     one = F.lit(1).alias("_one")
     limit = exact_quantiles(null.select(one, "entropy"), ["_one"], "entropy", {"threshold": quantile})
     true = program_entropy(full.select("patient_id", PROGRAM, "mass"))

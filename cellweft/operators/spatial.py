@@ -129,7 +129,9 @@ def _tree_search(left: DataFrame, reps: DataFrame, boxes: DataFrame, k: int) ->
                     .withColumn("_bound", F.min(F.when(F.col("_have") > k, F.col("far2"))).over(per_site))
                     .filter(F.col("_bound").isNull() | (F.col("near2") <= F.col("_bound") * (1 + 1e-9)))
                     .drop("_have", "_bound"))
-        pool = settle(pool.withColumn("open", (F.col("points") > LEAF_POINTS) & (F.lit(level) == F.col("level"))))
+        # one coordinate may hold k+1 points, and the last level is searched whatever it holds
+        split = (F.col("points") > max(LEAF_POINTS, k + 1)) & (F.col("level") == level) & F.lit(level < MAX_TREE_LEVEL)
+        pool = settle(pool.withColumn("open", split))
         waiting = pool.filter(~F.col("open")).drop("open")
         open_ = pool.filter("open").select(SAMPLE, "site", "x", "y", "bx", "by")
         if open_.isEmpty():
