@@ -10,6 +10,7 @@ from catalog.registry import query, rounded
 from cellweft.config import CohortConfig
 from cellweft.functions import scalar
 from cellweft.operators import features, programs, qc, sampling, spatial, topology
+from cellweft.session import settle
 from cellweft.sources import readers
 
 RAW_MANIFEST = """SELECT ' /data/' || n_name || '_graph.parquet ' AS filepath,
@@ -258,7 +259,8 @@ MORAN_STEPS = {"ln": Q.LOGNORM, "near": Q.knn(6), "edges": Q.distinct_edges("nea
 @query(V.oracle("SELECT sample_id, gene, round(moran, 6) AS moran FROM moran", "expression", steps=MORAN_STEPS))
 def morans_i(spark, sf):
     c = V.points(spark, sf)
-    return rounded(features.morans_i(c, qc.normalize_log1p(V.expression(spark, sf)), features.moran_edges(c, 7)), "moran")
+    logged = settle(qc.normalize_log1p(V.expression(spark, sf)))
+    return rounded(features.morans_i(c, logged, settle(features.moran_edges(c, 7))), "moran")
 
 
 @query(V.oracle("""SELECT sample_id, gene, round(moran, 6) AS moran, rank FROM (SELECT *, row_number() OVER
