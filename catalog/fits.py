@@ -297,7 +297,7 @@ def marker_set_clusters(spark, sf):
 def _dictionary(spark, sf, components=8, rounds=6):
     e = settle(V.expression(spark, sf))
     genes = settle(factor.vocabulary(e))
-    weights = priors.prior_matrix(V.points(spark, sf), e, 5_000_000)
+    weights = priors.prior_matrix(V.points(spark, sf), e)
     matrix, losses = priors.program_dictionary(weights, genes, components, rounds)
     return genes, factor.dictionary_table(spark, matrix, genes, 1e-6), losses
 

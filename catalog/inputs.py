@@ -419,10 +419,13 @@ def stratified_quota(spark, sf):
     return sampling.stratified_quota(s.join(n, "sample_id"), 800)
 
 
-@query(V.oracle("""SELECT patient_id, chunk_key, CAST((row_number() OVER (ORDER BY deal, md5(chunk_key || ':42'), chunk_key) - 1) // 5 AS INTEGER) AS batch_id
-    FROM (SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY md5(chunk_key || ':42'), chunk_key) AS deal FROM
-        (SELECT DISTINCT sample_id AS patient_id, sample_id || '#' || CAST(chunk_id AS VARCHAR) AS chunk_key FROM chunks))""",
-                "cells", steps=CHUNKS))
+@query(V.oracle("""SELECT patient_id, chunk_key, CAST((before + deal - 1) % ceil((SELECT count(*) FROM keys) / 5.0) AS INTEGER) AS batch_id
+    FROM dealt JOIN patients USING (patient_id)""", "cells", steps={
+        **CHUNKS,
+        "keys": "SELECT DISTINCT sample_id AS patient_id, sample_id || '#' || CAST(chunk_id AS VARCHAR) AS chunk_key FROM chunks",
+        "dealt": "SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY md5(chunk_key || ':42'), chunk_key) AS deal FROM keys",
+        "sizes": "SELECT patient_id, count(*) AS n, md5(patient_id || ':42') AS h FROM keys GROUP BY 1",
+        "patients": "SELECT patient_id, sum(n) OVER (ORDER BY h, patient_id) - n AS before FROM sizes"}))
 def stratified_batches(spark, sf):
     c = sampling.spatial_chunks(V.points(spark, sf), 100)
     keys = c.select(F.col("sample_id").alias("patient_id"), F.concat("sample_id", F.lit("#"), F.col("chunk_id").cast("string")).alias("chunk_key")).distinct()

@@ -100,9 +100,14 @@ def spatial_graph(cells: DataFrame, expression: DataFrame | None = None, vectors
 
 
 def edge_softmax(edges: DataFrame, score: str, out: str = "attention") -> DataFrame:
-    """Softmax of edge scores over the edges that share a destination."""
+    """Softmax of edge scores over the edges that share a destination.
+
+    Sums come first, combined map-side: a hub cell may have as many edges as a crowd has cells.
+    """
     e = edges.withColumn("_e", F.exp(clamp(F.col(score), -60.0, 60.0)))
-    return e.withColumn(out, F.col("_e") / (F.sum("_e").over(Window.partitionBy(SAMPLE, "dst")) + EPS)).drop("_e")
+    sums = e.groupBy(F.col(SAMPLE).alias("_s"), F.col("dst").alias("_d")).agg(F.sum("_e").alias("_sum"))
+    joined = e.join(sums, (F.col(SAMPLE) == F.col("_s")) & (F.col("dst") == F.col("_d")))
+    return joined.withColumn(out, F.col("_e") / (F.col("_sum") + EPS)).drop("_e", "_s", "_d", "_sum")
 
 
 def bilateral_weights(edges: DataFrame, projection: DataFrame, gamma: float = 1.0) -> DataFrame:
@@ -162,11 +167,12 @@ def induced_subgraph(members: DataFrame, edges: DataFrame, group: str = "chunk_i
     return edges.join(left, [SAMPLE, "src"]).join(right, [SAMPLE, group, "dst"], "left_semi")
 
 
-def label_propagation(nodes: DataFrame, links: DataFrame, max_rounds: int = 30) -> DataFrame:
+def label_propagation(nodes: DataFrame, links: DataFrame, max_rounds: int = 200) -> DataFrame:
     """Deterministic communities on ``links(a, b, weight)``: every node takes the heaviest label around it.
 
     The own label keeps a vote, ties go to the lowest label, and rounds stop when nothing
-    changes or when labels start to repeat.
+    changes or when labels start to repeat: the state of a round is the exclusive or of its
+    rows' hashes, which no order of rows can change. Reaching ``max_rounds`` before that is an error.
     """
     both = settle(links.select("a", "b", "weight").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
                        .groupBy("a", "b").agg(F.max("weight").alias("weight")))
@@ -179,10 +185,12 @@ def label_propagation(nodes: DataFrame, links: DataFrame, max_rounds: int = 30)
         total = votes.unionByName(mine).groupBy("a", "label").agg(F.round(F.sum("w"), 9).alias("w"))
         best = total.groupBy(F.col("a").alias("node")).agg(F.max_by("label", F.struct("w", -F.col("label"))).alias("_new"))
         labels = settle(labels.join(best, "node", "left").select("node", F.coalesce("_new", "label").alias("label")))
-        state = labels.agg(F.sum(F.xxhash64("node", "label") / 2.0 ** 20)).first()[0]
+        state = labels.agg(F.bit_xor(F.xxhash64("node", "label"))).first()[0]
         if state in seen:
             break
         seen.add(state)
+    else:
+        raise RuntimeError(f"labels still change after {max_rounds} rounds")
     w = Window.orderBy("_first")
     ids = labels.groupBy("label").agg(F.min("node").alias("_first")).withColumn("domain", (F.row_number().over(w) - 1).cast("int"))
     return labels.join(ids, "label").select("node", "domain")

@@ -5,6 +5,8 @@ Set tables are long: ``signatures(lineage, gene)``, ``sets(set_id, gene)``.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,12 +47,13 @@ def average_linkage(signatures: DataFrame, threshold: float | None = 0.60, n_clu
 
     Pairs that are each other's nearest merge in the same round, which yields the same tree as one
     merge at a time (average linkage is reducible). Only similarities above zero are stored: a pair
-    without a row is at distance one. With a threshold, merging stops there; else at ``n_clusters``.
+    without a row is at distance one. With a threshold, merging stops there. Else the whole tree is built and its lowest
+    merges are taken until ``n_clusters`` are left; clusters that share no gene then join the last in order of name.
     """
     ids = signatures.select("lineage").distinct()
     member = settle(ids.select("lineage", F.col("lineage").alias("cluster")))
     sims = settle(jaccard_pairs(signatures).select("a", "b", (1 - F.col("distance")).alias("sim")))
-    total = ids.count()
+    merges = []
     while True:
         sizes = member.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
         t = (sims.join(sizes.select(F.col("cluster").alias("a"), F.col("n").alias("na")), "a")
@@ -61,14 +64,10 @@ def average_linkage(signatures: DataFrame, threshold: float | None = 0.60, n_clu
         mutual = ends.groupBy("k").agg(F.count(F.lit(1)).alias("c")).filter("c = 2").select("k.*")
         if threshold is not None:
             mutual = mutual.filter(F.col("d") < threshold)
-        else:
-            spare = total - (n_clusters or 1)
-            mutual = mutual.orderBy("d", "a", "b").limit(max(spare, 0))
         mutual = settle(mutual)
-        merged = mutual.count()
-        if merged == 0:
+        if mutual.isEmpty():
             break
-        total -= merged
+        merges.append(mutual)
         into = mutual.select(F.col("b").alias("old"), F.col("a").alias("new"))
 
         def renamed(df: DataFrame, c: str) -> DataFrame:
@@ -77,11 +76,31 @@ def average_linkage(signatures: DataFrame, threshold: float | None = 0.60, n_clu
         member = settle(renamed(member, "cluster"))
         moved = renamed(renamed(sims, "a"), "b").filter("a <> b")
         sims = settle(moved.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("sim").alias("sim")))
+    if threshold is None and merges:
+        member = _cut_tree(ids, reduce(DataFrame.unionByName, merges), n_clusters or 1)
     w = Window.orderBy("cluster")
-    order = member.select("cluster").distinct().withColumn("cluster_no", (F.row_number().over(w) - 1).cast("int"))
+    number = F.row_number().over(w) - 1
+    number = number if threshold is not None else F.least(number, F.lit((n_clusters or 1) - 1))
+    order = member.select("cluster").distinct().withColumn("cluster_no", number.cast("int"))
     return member.join(order, "cluster").select("lineage", F.col("cluster_no").alias("cluster"))
 
 
+def _cut_tree(ids: DataFrame, merges: DataFrame, n_clusters: int) -> DataFrame:
+    """``(lineage, cluster)`` after the lowest merges ``(d, a, b)``, ``b`` into ``a``, of a tree; heights never fall towards the root.
+
+    A merge of equal height is taken after those below it. The table of merges has a row for each lineage at most.
+    """
+    spare = max(ids.count() - n_clusters, 0)
+    low = settle(merges.withColumn("_i", F.monotonically_increasing_id()).orderBy("d", "_i").limit(spare).select(F.col("b").alias("_old"), F.col("a").alias("_new")))
+    member = ids.select("lineage", F.col("lineage").alias("cluster"))
+    while True:
+        found = settle(member.join(low, member["cluster"] == low["_old"], "left").select("lineage", F.coalesce("_new", "cluster").alias("cluster"),
+                                                                                           F.col("_new").isNotNull().alias("_moved")))
+        member = found.drop("_moved")
+        if found.filter("_moved").isEmpty():
+            return member
+
+
 def consensus_markers(signatures: DataFrame, clusters: DataFrame, frequency: float = 0.30, least: int = 10,
                       most: int = 100) -> DataFrame:
     """Marker genes per cluster: frequent genes, bounded in number; thin clusters disappear.
@@ -116,13 +135,18 @@ def top_cells_per_gene(weights: DataFrame, n: int = 2000, value: str = "tfidf")
     return best.select(SAMPLE, CELL).distinct()
 
 
-def prior_matrix(cells: DataFrame, expression: DataFrame, cells_per_sample: int, pool: int = 200_000,
+def prior_matrix(cells: DataFrame, expression: DataFrame, cells_per_sample: int | None = None, pool: int | None = None,
                  per_gene: int = 2000, seed: int = 42) -> DataFrame:
-    """tf-idf of winsorised counts for the cells the dictionary is learned from."""
+    """tf-idf of winsorised counts for the cells the dictionary is learned from: all of them.
+
+    A caller may ask for fewer: ``cells_per_sample`` by chance, and beyond a ``pool`` of cells the top ``per_gene`` of each gene.
+    """
     weights = settle(features.tfidf(cells, qc.winsorize(expression)))
-    capped = hash_rank(weights.select(SAMPLE, CELL).distinct(), [SAMPLE], CELL, seed).filter(F.col("rn") <= cells_per_sample)
+    if cells_per_sample is None and pool is None:
+        return weights
+    capped = hash_rank(weights.select(SAMPLE, CELL).distinct(), [SAMPLE], CELL, seed).filter(F.col("rn") <= (cells_per_sample or 2 ** 62))
     used = settle(weights.join(capped.select(SAMPLE, CELL), [SAMPLE, CELL], "left_semi"))
-    if used.select(SAMPLE, CELL).distinct().count() > pool:
+    if pool is not None and used.select(SAMPLE, CELL).distinct().count() > pool:
         used = used.join(top_cells_per_gene(used, per_gene), [SAMPLE, CELL], "left_semi")
     return used
 

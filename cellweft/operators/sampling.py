@@ -93,10 +93,18 @@ def stratified_quota(sizes: DataFrame, target: int) -> DataFrame:
 
 
 def stratified_batches(chunks: DataFrame, batch: int, seed: int = 42) -> DataFrame:
-    """Batches of ``batch`` chunks from as many patients as possible: one round of patients after another."""
-    dealt = hash_rank(chunks, ["patient_id"], "chunk_key", seed, "deal").withColumn("_h", hash_key("chunk_key", seed))
-    order = bucketed_rank(dealt.withColumn("_all", F.lit(0)), ["_all"], ["deal"], [F.col("_h"), F.col("chunk_key")])
-    return order.select("patient_id", "chunk_key", F.floor((F.col("rn") - 1) / batch).cast("int").alias("batch_id"))
+    """At most ``batch`` chunks a batch; a patient comes twice in one only if it has more chunks than there are batches.
+
+    Patients stand in random order, each with its chunks side by side, and are dealt out to the batches in turn: chunks of one
+    patient go to different batches until all have one. The window over patients has a row for each.
+    """
+    dealt = hash_rank(chunks, ["patient_id"], "chunk_key", seed, "deal")
+    patients = chunks.groupBy("patient_id").agg(F.count(F.lit(1)).alias("_n")).withColumn("_h", hash_key("patient_id", seed))
+    before = Window.orderBy("_h", "patient_id")
+    offsets = patients.select("patient_id", (F.sum("_n").over(before.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")).alias("_before"),
+                              F.ceil(F.sum("_n").over(before.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) / batch).alias("_batches"))
+    place = F.col("_before") + F.col("deal") - 1
+    return dealt.join(offsets, "patient_id").select("patient_id", "chunk_key", (place % F.col("_batches")).cast("int").alias("batch_id"))
 
 
 def cluster_cells(placed: DataFrame, sizes: DataFrame, rounds: int = 6, part_rows: int = 50_000,

@@ -178,11 +178,14 @@ def radius_join(cells: DataFrame, radius: DataFrame | float) -> DataFrame:
 
     ``radius`` is a number, or a table ``(sample_id, radius)``. Only five of the nine
     squares around a cell are visited, so a pair is met once. Full squares are split into
-    salted parts, so no task holds one whole.
+    salted parts, so no task holds one whole. At radius 0 cells at one point are pairs.
     """
     pts = cells.select(SAMPLE, CELL, "x", "y")
     pts = pts.withColumn("radius", F.lit(float(radius))) if isinstance(radius, (int, float)) else pts.join(
         radius.select(SAMPLE, "radius"), SAMPLE)
+    here = pts.filter(F.col("radius") == 0).select(SAMPLE, "x", "y", CELL)
+    at_point = (here.withColumnRenamed(CELL, "src").join(here.withColumnRenamed(CELL, "dst"), [SAMPLE, "x", "y"])
+                .filter("src < dst").select(SAMPLE, "src", "dst", F.lit(0.0).alias("dist")))
     pts = (pts.filter(F.col("radius") > 0).withColumn("bx", F.floor(F.col("x") / F.col("radius")))
               .withColumn("by", F.floor(F.col("y") / F.col("radius"))))
     square = [SAMPLE, "bx", "by"]
@@ -199,8 +202,8 @@ def radius_join(cells: DataFrame, radius: DataFrame | float) -> DataFrame:
     pairs = (home.join(away, [*square, "part"])
                  .filter(~F.col("same") | (F.col("a") < F.col("b"))).withColumn("d2", d2)
                  .filter(F.col("d2") <= F.col("radius") * F.col("radius")))
-    return pairs.select(SAMPLE, F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"),
-                        F.sqrt("d2").alias("dist"))
+    near = pairs.select(SAMPLE, F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"), F.sqrt("d2").alias("dist"))
+    return near.unionByName(at_point)
 
 
 def both_directions(edges: DataFrame) -> DataFrame:

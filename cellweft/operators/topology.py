@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from cellweft.functions.scalar import EPS, interface_label, log2_enrichment
 from cellweft.operators import programs as P
 from cellweft.operators import qc, spatial
 from cellweft.operators.ordering import hash_rank
-from cellweft.session import settle
+from cellweft.session import discard, settle
 
 SAMPLE, CELL, PROGRAM = "sample_id", "cell_id", "program_id"
 
@@ -63,10 +65,13 @@ def block_null_mean(pairs: DataFrame, blocks: DataFrame, fractions: DataFrame) -
     sums = w.groupBy(SAMPLE, "block", PROGRAM, "n_block").agg(F.sum("frac").alias("s"))
     a = sums.select(SAMPLE, F.col("block").alias("ba"), F.col(PROGRAM).alias("i"), F.col("s").alias("sa"), F.col("n_block").alias("na"))
     c = sums.select(SAMPLE, F.col("block").alias("bb"), F.col(PROGRAM).alias("j"), F.col("s").alias("sb"), F.col("n_block").alias("nb"))
-    crossed = links.join(a, [SAMPLE, "ba"]).join(c, [SAMPLE, "bb"])
-    apart = crossed.filter("ba <> bb").select(SAMPLE, "i", "j", (F.col("m") * F.col("sa") / F.col("na") * F.col("sb") / F.col("nb")).alias("e"))
+    # Neighbouring blocks are summed before programs are paired: K rows for each pair of blocks, K^2 for each block.
+    around = (links.filter("ba <> bb").join(c, [SAMPLE, "bb"]).groupBy(SAMPLE, "ba", "j")
+              .agg(F.sum(F.col("m") * F.col("sb") / F.col("nb")).alias("v")))
+    apart = around.join(a, [SAMPLE, "ba"]).select(SAMPLE, "i", "j", (F.col("v") * F.col("sa") / F.col("na")).alias("e"))
     slots = F.col("na") * (F.col("na") - 1)
-    within = crossed.filter("ba = bb and na > 1").select(SAMPLE, "i", "j", (F.col("m") * F.col("sa") * F.col("sb") / slots).alias("e"))
+    inner = links.filter("ba = bb").join(a, [SAMPLE, "ba"]).join(c, [SAMPLE, "bb"])
+    within = inner.filter("na > 1").select(SAMPLE, "i", "j", (F.col("m") * F.col("sa") * F.col("sb") / slots).alias("e"))
     left = w.select(SAMPLE, CELL, "block", "n_block", F.col(PROGRAM).alias("i"), F.col("frac").alias("fi"))
     right = fractions.select(SAMPLE, CELL, F.col(PROGRAM).alias("j"), F.col("frac").alias("fj"))
     gram = (left.join(right, [SAMPLE, CELL]).groupBy(SAMPLE, "block", "n_block", "i", "j").agg(F.sum(F.col("fi") * F.col("fj")).alias("g")))
@@ -76,23 +81,35 @@ def block_null_mean(pairs: DataFrame, blocks: DataFrame, fractions: DataFrame) -
     return (apart.unionByName(within).unionByName(minus).groupBy(SAMPLE, "i", "j").agg(F.sum("e").alias("expected")))
 
 
-def block_null_sd(pairs: DataFrame, blocks: DataFrame, fractions: DataFrame, n_perms: int) -> DataFrame:
+def block_null_sd(pairs: DataFrame, blocks: DataFrame, fractions: DataFrame, n_perms: int,
+                  expected: DataFrame | None = None, batch: int = 20) -> DataFrame:
     """Standard deviation (population) of the interaction matrix over block permutations.
 
     In permutation p the cell of fixed rank r in a block takes the fractions of the cell whose
-    hash order in p is r. Blocks of any size are ranked in parts.
+    hash order in p is r. Blocks of any size are ranked in parts. Permutations come in batches: of each
+    only the sums per (sample, i, j) of deviations from the exact expectation (``block_null_mean``) and of their
+    squares remain, so nothing cancels when values are large against their spread.
     """
+    key = [SAMPLE, "i", "j"]
+    expected = settle(block_null_mean(pairs, blocks, fractions) if expected is None else expected)
     slot = [SAMPLE, "block"]
     fixed = settle(hash_rank(blocks, slot, CELL, "base", "rank", size="n_block")).select(*slot, CELL, "rank")
-    perms = blocks.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(n_perms))))
-    drawn = hash_rank(perms, [*slot, "perm"], CELL, F.col("perm"), "rank", size="n_block")
-    moved = (drawn.select(*slot, "perm", "rank", F.col(CELL).alias("donor")).join(fixed, [*slot, "rank"])
-                  .join(fractions.withColumnRenamed(CELL, "donor"), [SAMPLE, "donor"])
-                  .select(SAMPLE, "perm", CELL, PROGRAM, "frac"))
-    each = _pair_sums(pairs, settle(moved), ["perm"])
-    sums = each.groupBy(SAMPLE, "i", "j").agg(F.sum("value").alias("_s"), F.sum(F.col("value") * F.col("value")).alias("_q"))
-    var = F.col("_q") / n_perms - (F.col("_s") / n_perms) * (F.col("_s") / n_perms)
-    return sums.select(SAMPLE, "i", "j", F.sqrt(F.greatest(var, F.lit(0.0))).alias("sd"))
+    batches = []
+    for first in range(1, n_perms + 1, batch):
+        perms = blocks.withColumn("perm", F.explode(F.sequence(F.lit(first), F.lit(min(first + batch - 1, n_perms)))))
+        drawn = hash_rank(perms, [*slot, "perm"], CELL, F.col("perm"), "rank", size="n_block")
+        moved = settle(drawn.select(*slot, "perm", "rank", F.col(CELL).alias("donor")).join(fixed, [*slot, "rank"])
+                       .join(fractions.withColumnRenamed(CELL, "donor"), [SAMPLE, "donor"])
+                       .select(SAMPLE, "perm", CELL, PROGRAM, "frac"))
+        off = F.col("value") - F.coalesce("expected", F.lit(0.0))
+        batches.append(settle(_pair_sums(pairs, moved, ["perm"]).join(expected, key, "left").groupBy(*key)
+                              .agg(F.count(F.lit(1)).alias("_n"), F.sum(off).alias("_s"), F.sum(off * off).alias("_q"))))
+        discard(moved)
+    sums = reduce(DataFrame.unionByName, batches).groupBy(*key).agg(*[F.sum(c).alias(c) for c in ("_n", "_s", "_q")]).join(expected, key, "left")
+    # A permutation without a row for a program pair has the value 0 there.
+    gone, mean = n_perms - F.col("_n"), F.coalesce("expected", F.lit(0.0))
+    s, q = (F.col("_s") - gone * mean) / n_perms, (F.col("_q") + gone * mean * mean) / n_perms
+    return sums.select(*key, F.sqrt(F.greatest(q - s * s, F.lit(0.0))).alias("sd"))
 
 
 def interface_stats(observed: DataFrame, expected: DataFrame, sd: DataFrame | None, mass: DataFrame,
@@ -124,8 +141,9 @@ def cohort_topology(cells: DataFrame, fractions: DataFrame, names: DataFrame, sa
     if pairs is None:
         pairs = settle(spatial.radius_join(cells, topology_radius(cells, multiplier)))
     blocks = settle(spatial_blocks(cells))
-    sd = block_null_sd(pairs, blocks, fractions, n_perms) if n_perms else None
-    stats = interface_stats(interaction_matrix(pairs, fractions), block_null_mean(pairs, blocks, fractions), sd,
+    expected = settle(block_null_mean(pairs, blocks, fractions))
+    sd = block_null_sd(pairs, blocks, fractions, n_perms, expected) if n_perms else None
+    stats = interface_stats(interaction_matrix(pairs, fractions), expected, sd,
                             P.topic_mass(cells, fractions), names, least_mass)
     meta = samples.select(F.col(SAMPLE).alias("Sample"), F.col("dataset_id").alias("Dataset"))
     return stats.join(meta, "Sample")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Collection
+from dataclasses import asdict
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,11 +25,18 @@ def _kept(spark: SparkSession, path: str, make, write=None) -> DataFrame:
         df.write.mode("overwrite").parquet(path)
     else:
         write(df, path)
-    return spark.read.parquet(path)
+    return writers.read_stored(spark, path)
+
+
+def settings_key(cfg: CohortConfig, supervised: bool) -> str:
+    """Short name of the settings; tables stored under other settings are never taken for these."""
+    return hashlib.md5(repr((sorted(asdict(cfg).items()), supervised)).encode()).hexdigest()[:10]
 
 
 def limit_cells(cells: DataFrame, expression: DataFrame, cfg: CohortConfig) -> DataFrame:
-    """Cells kept per sample: by sketch or by chance; small samples are whole."""
+    """All cells, or as many per sample as the caller asks for: by sketch or by chance; small samples are whole."""
+    if cfg.max_cells_per_sample is None:
+        return cells
     if cfg.use_sketching:
         return sampling.expression_sketch(cells, expression, cfg.max_cells_per_sample, seed=cfg.seed)
     return qc.sample_cap(cells, cfg.max_cells_per_sample, cfg.seed)
@@ -34,8 +45,8 @@ def limit_cells(cells: DataFrame, expression: DataFrame, cfg: CohortConfig) -> D
 def discover_genes(cells: DataFrame, expression: DataFrame, whitelist: DataFrame | None, cfg: CohortConfig) -> DataFrame:
     if whitelist is not None:
         qc.check_vocabulary(expression, whitelist, cfg.min_vocabulary_overlap)
-    some = settle(qc.sample_cap(cells, cfg.feature_cap, cfg.seed))
-    part = expression.join(some.select("sample_id", "cell_id"), ["sample_id", "cell_id"], "left_semi")
+    some = cells if cfg.feature_cap is None else settle(qc.sample_cap(cells, cfg.feature_cap, cfg.seed))
+    part = expression if cfg.feature_cap is None else expression.join(some.select("sample_id", "cell_id"), ["sample_id", "cell_id"], "left_semi")
     hvg, moran = features.spatial_features(some, part, whitelist, cfg.moran_k)
     return readers.number_genes(features.consensus_genes(hvg, moran, cfg.top_n_genes))
 
@@ -57,10 +68,21 @@ def learn_priors(cells: DataFrame, raw: DataFrame, genes: DataFrame, signatures:
     return priors.prior_programs(nouns, dictionary, accepted, cfg.top_k_adjective_genes), report
 
 
+PHASES = ("genes", "cells", "expression", "edges", "priors", "programs", "fractions", "pruning", "names", "domains", "topology")
+
+
 def run_cohort(spark: SparkSession, manifest: DataFrame, cells: DataFrame, expression: DataFrame, out: str,
-               signatures: DataFrame | None = None, cfg: CohortConfig | None = None) -> dict[str, DataFrame]:
-    """Manifest to meta-analysis. Returns the tables it stored below ``out``."""
+               signatures: DataFrame | None = None, cfg: CohortConfig | None = None, panel: DataFrame | None = None,
+               redo: Collection[str] = ()) -> dict[str, DataFrame]:
+    """Manifest to meta-analysis. Returns the tables it stored below ``out``, in a folder of these settings.
+
+    ``panel(sample_id, gene)`` names the measured genes; without it, genes with a count in a sample are its panel. Tables named in
+    ``redo`` (``genes``, ``cells``, ``expression``, ``edges``, ``priors``, ``programs``, ``fractions``, ``pruning``, ``names``,
+    ``domains``, ``topology``) are made again, as is all that comes after the first of them.
+    """
     cfg = cfg or CohortConfig()
+    out = f"{out}/{settings_key(cfg, signatures is not None and not cfg.unsupervised)}"
+    writers.forget(spark, out, PHASES, redo)
     discovery, projection = readers.split_roles(manifest, cfg.max_samples)
     if discovery.isEmpty():
         raise ValueError("no discovery samples in the manifest")
@@ -106,14 +128,18 @@ def run_cohort(spark: SparkSession, manifest: DataFrame, cells: DataFrame, expre
     t["programs"] = _kept(spark, f"{out}/programs", make_programs)
 
     # phase 2: fractions, pruning, names, domains
+    # Scored in the context they were fitted in: expression smoothed over the graph.
     t["fractions"] = _kept(spark, f"{out}/fractions", lambda: programs.project_fractions(
-        t["expression"], t["programs"], None, cfg.inference_scale, cfg.inference_alpha), writers.write_by_sample)
+        settle(priors.smooth_expression(t["expression"], t["edges"], cfg.k_hops)), t["programs"], None, cfg.inference_scale, cfg.inference_alpha),
+        writers.write_by_sample)
     patients = manifest.select("sample_id", "patient_id")
     mass = settle(programs.patient_mass(t["fractions"].join(fit, "sample_id", "left_semi"), patients))
     t["pruning"] = _kept(spark, f"{out}/pruning", lambda: programs.entropy_pruning(
         mass, cfg.n_perms_entropy, enabled=cfg.entropy_pruning))
     kept = t["pruning"].filter("kept")
     t["names"] = _kept(spark, f"{out}/names", lambda: programs.name_programs(t["programs"], kept))
+    t["refinement"] = settle(programs.refinement_report(t["pruning"], mass, t["programs"]))
+    writers.write_csv(t["refinement"].coalesce(1), f"{out}/refinement_report")
     mapping = settle(domains.program_domains(domains.program_correlation(t["cells"], t["fractions"])))
     t["domains"] = _kept(spark, f"{out}/domains", lambda: domains.smooth_domains(
         t["cells"], t["fractions"], mapping, t["edges"], cfg.self_weight), writers.write_domains)
@@ -125,8 +151,9 @@ def run_cohort(spark: SparkSession, manifest: DataFrame, cells: DataFrame, expre
         if todo.isEmpty():
             return stored
         cell_part = t["cells"].join(todo.select("sample_id"), "sample_id", "left_semi")
-        panel = expression.join(todo.select("sample_id"), "sample_id", "left_semi").select("sample_id", "gene").distinct()
-        valid = programs.validate_panel(panel, t["programs"], t["genes"], min(1000, cfg.n_perms_entropy), cfg.panel_overlap, cfg.seed)
+        measured = expression if panel is None else panel
+        measured = measured.join(todo.select("sample_id"), "sample_id", "left_semi").select("sample_id", "gene").distinct()
+        valid = programs.validate_panel(measured, t["programs"], t["genes"], min(1000, cfg.n_perms_entropy), cfg.panel_overlap, cfg.seed)
         w = (t["fractions"].join(valid.select("sample_id", "program_id"), ["sample_id", "program_id"], "left_semi")
                            .join(kept.select("program_id"), "program_id", "left_semi"))
         rows = topology.cohort_topology(cell_part, w, t["names"], todo, cfg.n_perms_topo, cfg.radius_multiplier, cfg.min_topic_mass)
@@ -134,12 +161,13 @@ def run_cohort(spark: SparkSession, manifest: DataFrame, cells: DataFrame, expre
         return writers.read_if_present(spark, f"{out}/topology")
 
     found = write_pending()
+    no_rows = found if found is not None else spark.createDataFrame([], "Sample string")
+    t["status"] = topology.sample_status(projection, no_rows)
     if found is not None:
         t["topology"] = found
         by_patient = found.join(manifest.select(F.col("sample_id").alias("Sample"), "patient_id"), "Sample")
         by_patient = by_patient.withColumn("Sample", F.col("patient_id")).drop("patient_id")
         t["meta"] = settle(meta.meta_topology(by_patient))
-        t["status"] = topology.sample_status(projection, found)
         if not t["meta"].isEmpty():
             writers.write_csv(meta.matrix_table(t["meta"]), f"{out}/matrix")
             writers.write_json_text(meta.network_payload(meta.network_links(t["meta"], cfg.fdr_threshold)), f"{out}/network", "payload")

@@ -34,3 +34,11 @@ def settle(df: DataFrame) -> DataFrame:
     path = f"{spark.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table that ``settle`` wrote, once nothing reads it any more."""
+    files = table.inputFiles()
+    if files:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

@@ -8,7 +8,7 @@ from catalog import views as V
 from cellweft.operators import factor, graph, priors, programs, qc, sampling
 from cellweft.plans.cohort import limit_cells
 from cellweft.config import CohortConfig
-from cellweft.sources import readers
+from cellweft.sources import readers, writers
 
 SF = "/root/testdata/sf0.001"
 
@@ -67,6 +67,41 @@ def test_linkage_merges_close_sets_only(spark):
     assert {r.cluster for r in nouns} == {got[1], got[3]}  # the three-gene set is too thin
 
 
+def plain_linkage(sets, n_clusters):
+    """Average linkage, one merge at a time."""
+    groups = [[k] for k in sorted(sets)]
+    far = lambda a, b: 1 - len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    while len(groups) > n_clusters:
+        d, i, j = min((round(sum(far(a, b) for a in x for b in y) / (len(x) * len(y)), 12), i, j) for i, x in enumerate(groups) for j, y in enumerate(groups) if i < j)
+        groups[i] += groups.pop(j)
+    return {frozenset(g) for g in groups}
+
+
+def test_linkage_by_count_takes_the_lowest_merges(spark):
+    sets = {1: set(range(100)), 2: set(range(100)), 3: set(range(20, 100)) | set(range(200, 220)), 4: set(range(300, 400)), 5: set(range(383, 483)),
+            6: set(range(500, 530)), 7: set(range(505, 540))}
+    s = spark.createDataFrame([(k, str(g)) for k, v in sets.items() for g in v], "lineage long, gene string")
+    for n in (3, 5):
+        found = {}
+        for r in priors.average_linkage(s, None, n).collect():
+            found.setdefault(r.cluster, set()).add(r.lineage)
+        got = {frozenset(g) for g in found.values()}
+        assert len(got) == n
+        assert got == plain_linkage(sets, n)
+    assert len({r.cluster for r in priors.average_linkage(s, None, 1).collect()}) == 1
+
+
+def test_stored_samples_keep_their_names(spark, tmp_path):
+    names = ["001", "1", "2024-01-01", "A/B", "a b"]
+    df = spark.createDataFrame([(s, i) for i, s in enumerate(names)], "sample_id string, n int")
+    writers.write_by_sample(df, f"{tmp_path}/t")
+    writers.write_by_sample(df.filter("sample_id = '001'").withColumn("n", F.lit(7)), f"{tmp_path}/t")
+    got = writers.read_if_present(spark, f"{tmp_path}/t")
+    assert {(r.sample_id, r.n) for r in got.collect()} == {(s, 7 if s == "001" else i) for i, s in enumerate(names)}
+    assert got.dtypes == df.select("n", "sample_id").dtypes or sorted(got.dtypes) == sorted(df.dtypes)
+    assert writers.read_if_present(spark, f"{tmp_path}/none") is None
+
+
 def test_label_propagation_gives_every_node_one_label(spark):
     links = spark.createDataFrame([(0, 1, 1.0), (1, 2, 1.0), (0, 2, 1.0), (3, 4, 1.0), (4, 5, 1.0), (3, 5, 1.0), (2, 3, 0.1)], "a int, b int, weight double")
     nodes = spark.createDataFrame([(i,) for i in range(7)], "node int")

@@ -1,12 +1,16 @@
 """Hand-computed statistics."""
 
+import hashlib
 import math
+import random
+from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from cellweft.functions import scalar, simplex
-from cellweft.operators import features, meta, ordering
+from cellweft.operators import features, meta, ordering, sampling, topology
 
 
 def test_student_t_tail(spark):
@@ -71,3 +75,49 @@ def test_ranks_and_quantiles_do_not_depend_on_bucket_size(spark):
     for k in ("0", "1"):
         v = [float((i * 37) % 101) for i in range(500) if str(i % 2) == k]
         assert abs(q[k].m - np.percentile(v, 50)) < 1e-9 and abs(q[k].h - np.percentile(v, 99)) < 1e-9
+
+
+def test_batches_repeat_a_patient_only_if_they_must(spark):
+    rng = random.Random(3)
+    for _ in range(6):
+        sizes = {f"p{i}": rng.randrange(1, 9) for i in range(rng.randrange(1, 9))}
+        batch = rng.randrange(2, 6)
+        rows = [(p, f"{p}#{i}") for p, n in sizes.items() for i in range(n)]
+        got = sampling.stratified_batches(spark.createDataFrame(rows, "patient_id string, chunk_key string"), batch).collect()
+        batches = -(-len(rows) // batch)
+        assert sorted((r.patient_id, r.chunk_key) for r in got) == sorted(rows)
+        assert max(Counter(r.batch_id for r in got).values()) <= batch and {r.batch_id for r in got} == set(range(batches))
+        for (patient, _), n in Counter((r.patient_id, r.batch_id) for r in got).items():
+            assert n <= -(-sizes[patient] // batches)
+
+
+def test_permutation_sd_of_large_values(spark):
+    """A large mean must not swallow the spread: scaling the fractions scales the deviation."""
+    cells = [("s", i, float(i % 6), float(i // 6)) for i in range(36)]
+    blocks = spark.createDataFrame([("s", i, i // 18, 18) for i in range(36)], "sample_id string, cell_id long, block int, n_block long")
+    pairs = spark.createDataFrame([("s", a[1], b[1]) for a in cells for b in cells if a[1] < b[1] and abs(a[2] - b[2]) + abs(a[3] - b[3]) == 1],
+                                  "sample_id string, src long, dst long")
+    rng = random.Random(9)
+    rows = [("s", i, p, 1e5 + rng.random()) for i in range(36) for p in (0, 1)]
+    frac = spark.createDataFrame(rows, "sample_id string, cell_id long, program_id int, frac double")
+    got = {(r.i, r.j): r.sd for r in topology.block_null_sd(pairs, blocks, frac, 12, batch=5).collect()}
+    md5 = lambda c, s: hashlib.md5(f"{c}:{s}".encode()).hexdigest()
+    values = {k: [] for k in got}
+    for perm in range(1, 13):
+        moved = {}
+        for block in (0, 1):
+            members = range(18 * block, 18 * block + 18)
+            fixed = sorted(members, key=lambda c: md5(c, "base"))
+            drawn = sorted(members, key=lambda c: md5(c, perm))
+            moved.update(dict(zip(fixed, drawn, strict=True)))
+        f = {(i, p): v - 1e5 for _, i, p, v in rows}
+        for i, j in values:  # exact in fractions less 1e5: the constant part adds the same to every permutation, the linear parts are kept
+            deg = Counter()
+            for r in pairs.collect():
+                deg[r.src] += 1
+                deg[r.dst] += 1
+            cross = sum(f[moved[r.src], i] * f[moved[r.dst], j] + f[moved[r.dst], i] * f[moved[r.src], j] for r in pairs.collect())
+            linear = sum(deg[c] * (f[moved[c], i] + f[moved[c], j]) for c in range(36)) * 1e5
+            values[i, j].append(cross + linear)
+    for k, v in values.items():
+        assert got[k] == pytest.approx(np.std(v), rel=1e-3)
