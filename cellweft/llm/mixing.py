@@ -12,7 +12,7 @@ from cellweft.llm.common import fraction
 #: Shares of the datasets, in order of their names, repeating.
 SHARES = (5.0, 2.0, 1.0)
 #: Rows that one task puts in order.
-PART_ROWS = 20_000
+PART_ROWS = 2_000
 
 
 def dataset_targets(cells: DataFrame, shares: Sequence[float] = SHARES, ratio: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -33,8 +33,9 @@ def dataset_targets(cells: DataFrame, shares: Sequence[float] = SHARES, ratio: f
     left = ratio * F.sum("source_size").over(everything) - cap * F.coalesce(F.sum("source_size").over(before), F.lit(0))
     levels = (datasets.withColumn("_share", share).withColumn("_level", cap * F.col("source_size") / F.col("_share"))
               .withColumn("_fair", left / F.sum("_share").over(rest)))
-    free = F.min(F.when(F.col("_level") > F.col("_fair"), F.struct("_level", "_fair")))
-    target = F.when(F.col("_level") > F.col("_free._fair"), F.col("_free._fair") * F.col("_share")).otherwise(
+    free = F.min(F.when(F.col("_level") > F.col("_fair"), F.struct("_level", (-F.col("_fair")).alias("_less"))))
+    fair = -F.col("_free._less")
+    target = F.when(F.col("_level") > fair, fair * F.col("_share")).otherwise(
         cap * F.col("source_size"))
     return (levels.withColumn("_free", free.over(everything))
             .select("dataset_id", "source_size", "n_cells", "mean_weight",

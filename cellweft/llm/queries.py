@@ -143,7 +143,7 @@ c AS (SELECT *, 2.0::DOUBLE * source_size / share AS level FROM b),
 f AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - 2.0::DOUBLE * coalesce(sum(source_size) OVER (ORDER BY level, source NULLS LAST
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(share) OVER (ORDER BY level, source NULLS LAST
         ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS fair FROM c),
-h AS (SELECT arg_min(fair, level) AS fair FROM f WHERE level > fair),
+h AS (SELECT fair FROM f WHERE level > fair ORDER BY level, fair DESC LIMIT 1),
 t AS (SELECT source, source_size, CASE WHEN level > h.fair THEN h.fair * share ELSE 2.0::DOUBLE * source_size END AS target FROM f LEFT JOIN h ON true),
 e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS epochs FROM t),
 k AS (SELECT d.doc_id, d.size, e.source_size, e.target, e.epochs, floor(e.target - e.epochs * e.source_size) AS budget,
