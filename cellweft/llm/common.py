@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +36,13 @@ def signature_rows(signatures: DataFrame, *more: str) -> DataFrame:
     return signatures.select("lineage", F.coalesce(F.col("genes"), F.lit("")).alias("genes"), *more)
 
 
+def few_rows(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches: what a task makes of a batch may be many times its size."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def fraction(parts: Sequence[Column | str], digits: int = 13) -> Column:
     """A reproducible number in (0, 1] from the md5 of the parts joined by ``:``; ``digits`` hexadecimal digits of it."""
     text = F.concat_ws(":", *[F.coalesce((F.col(p) if isinstance(p, str) else p).cast("string"), F.lit("null")) for p in parts])

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweft.llm.common import keep, mix64, signature_rows
+from cellweft.llm.common import few_rows, keep, mix64, signature_rows
 
 #: Word classes; the most frequent words have one each, the others share ``TAIL`` by their last letters and length.
 CLASSES, TAIL = 128, 32
@@ -159,7 +159,7 @@ def _context_counts(vocabulary: Vocabulary):
     """How often each class follows each context: all that the gradient needs to know of the texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, classes, sums = Codes(vocabulary.words), vocabulary.classes(), np.zeros(CLASSES ** 3, dtype=np.int64)
-        for b in batches:
+        for b in few_rows(batches):
             if b.num_rows:
                 _, code, ends = _coded(b.column(0).to_pylist(), codes)
                 c = classes[code]
@@ -227,9 +227,7 @@ def _score_columns(vocabulary: Vocabulary, weights: Weights):
         base = np.concatenate([vocabulary.log_base(vocabulary.counts), nothing])
         inside = np.concatenate([vocabulary.log_in_class(vocabulary.counts, classes[:known]), nothing])
         word = pa.struct([("word", pa.binary()), ("class", pa.int32()), ("n", pa.int32())])
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in few_rows(batches):
             words, code, ends = _coded(b.column(2).to_pylist(), codes)
             c = classes[code]
             model = after[contexts(c, ends, 0), c].astype(np.float64) + inside[code]
