@@ -138,5 +138,5 @@ def shared_with_projection(discovery: DataFrame, projection: DataFrame) -> DataF
     pairs = prints.join(wanted, "print").select("lineage", "item").distinct()
     near = keep(pairs.join(items, "item").groupBy(F.col("lineage").alias("_lineage"))
                 .agg(F.collect_list(F.struct("name", "text")).alias("items")))
-    joined = rows.join(near, F.col("lineage").eqNullSafe(F.col("_lineage")), "left").select("lineage", "genes", "items")
+    joined = rows.join(near.hint("merge"), F.col("lineage").eqNullSafe(F.col("_lineage")), "left").select("lineage", "genes", "items")
     return joined.mapInArrow(_extend_columns, f"lineage {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")

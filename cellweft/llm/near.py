@@ -160,7 +160,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     x = sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
     y = sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
     common = F.size(F.array_intersect("x", "y"))
-    near = pairs.join(x, "a").join(y, "b").withColumn("common", common)
+    near = pairs.hint("merge").join(x, "a").hint("merge").join(y, "b").withColumn("common", common)
     return near.filter(100 * F.col("common") >= 75 * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b")
 
 
@@ -231,13 +231,13 @@ def near_signatures(signatures: DataFrame) -> DataFrame:
         .withColumn("node", F.monotonically_increasing_id()))
     each = nodes.select("node", F.posexplode("keys").alias("pos", "key"))
     common = each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    sides = (each.join(common, "key", "left_semi").groupBy("node")
+    sides = (each.join(common.hint("merge"), "key", "left_semi").groupBy("node")
              .agg(*[F.collect_list(F.when(c, F.col("key"))).alias(n) for n, c in (("left", F.col("pos") < COLLECTIONS),
                                                                                  ("right", F.col("pos") >= COLLECTIONS))])
              .filter((F.size("left") > 0) & (F.size("right") > 0)))
     close = keep(nodes.select("node", "lineage", "set_id", "marks").join(sides, "node"))
     texts = rows.select(F.col("lineage").alias("_l"), "genes")
-    sets = keep(close.select("node", "set_id", "lineage").join(texts, F.col("lineage").eqNullSafe(F.col("_l")))
+    sets = keep(close.select("node", "set_id", "lineage").hint("merge").join(texts, F.col("lineage").eqNullSafe(F.col("_l")))
                 .select("node", "set_id", "genes").mapInArrow(_set_columns, "node bigint, items array<bigint>").dropDuplicates(["node"]))
     best = (bucket_pairs(close.withColumn("label", F.col("node")), by_group=False)
             .groupBy("a").agg(F.max(F.struct("agree", "b")).alias("m")).select(F.least("a", "m.b").alias("a"), F.greatest("a", "m.b").alias("b")))

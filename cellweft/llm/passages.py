@@ -167,7 +167,7 @@ def cut_repeated_passages(signatures: DataFrame, batches: int = BATCHES) -> Data
     part = marked.filter(F.col("open") | one).join(asked, "core", "left_semi").select(*name, "lo", "hi", F.col("open").alias("asks"))
     lists = part.groupBy(F.col("lineage").alias("_l"), F.col("body").alias("_b")).agg(F.collect_list(F.struct("lo", "hi", "asks")).alias("parts"))
     same = F.col("lineage").eqNullSafe(F.col("_l")) & (F.col("body") == F.col("_b"))
-    strings = keep(long_rows.join(lists, same).select(*name, "genes", "parts").mapInArrow(
+    strings = keep(long_rows.join(lists.hint("merge"), same).select(*name, "genes", "parts").mapInArrow(
         _window_columns, f"lineage {kind}, body bigint, start array<int>, asks array<boolean>, hash array<bigint>"))
     twice = strings.select(F.explode("hash").alias("hash")).groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash")
     asking = (strings.select(*name, F.explode(F.arrays_zip("start", "asks", "hash")).alias("s")).filter("s.asks")
@@ -178,5 +178,5 @@ def cut_repeated_passages(signatures: DataFrame, batches: int = BATCHES) -> Data
                 .agg(F.collect_list(F.struct("lo", "end")).alias("runs")))
     drop_table(strings)
     drop_table(marked)
-    return rows.join(gone, same, "left").select("lineage", "genes", "runs").mapInArrow(
+    return rows.join(gone.hint("merge"), same, "left").select("lineage", "genes", "runs").mapInArrow(
         _cut_columns, f"lineage {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")

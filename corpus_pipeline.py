@@ -23,7 +23,7 @@ from cellweft.llm.training_order import write_training_order
 def without(docs: DataFrame, outcome: DataFrame, drop: Column) -> DataFrame:
     """``docs`` less those whose row of ``outcome(lineage, ...)`` is to go; nothing else of the documents changes."""
     gone = keep(outcome.filter(drop).select(F.col("lineage").alias("_gone")).distinct())
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+    return docs.join(gone.hint("merge"), docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +52,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rest = (F.col("_taken") % F.col("_size")).cast("int")
     first_words = F.array_join(F.slice(F.split(F.regexp_replace("text", f"^{SPACE}", ""), SPACE), 1, rest), " ")
     times = F.ceil(F.col("_taken") / F.col("_size")).cast("int")
-    each = docs.join(mixed, same).withColumn("_time", F.explode(F.sequence(F.lit(1), times)))
+    each = docs.join(mixed.hint("merge"), same).withColumn("_time", F.explode(F.sequence(F.lit(1), times)))
     cut = (F.col("_time") == times) & (rest > 0)
     text = F.when(cut, first_words).otherwise(F.col("text"))
     chars = F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
