@@ -206,7 +206,7 @@ def fit_weights(table: DataFrame, rounds: int = ROUNDS, prior: float = PRIOR) ->
     for _ in range(rounds):
         size = [len(w) for w in weights.parts()]
         seen, hoped = np.zeros((sum(size), CLASSES)), np.zeros((sum(size), CLASSES))
-        for row in table.mapInArrow(_gradient(weights), "row bigint, seen binary, hoped binary").toLocalIterator():
+        for row in table.mapInArrow(_gradient(weights), "row bigint, seen binary, hoped binary").collect():
             seen[row.row] += np.frombuffer(row.seen)
             hoped[row.row] += np.frombuffer(row.hoped)
         at = 0
