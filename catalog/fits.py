@@ -314,7 +314,20 @@ def program_candidates(spark, sf):
     return priors.program_candidates(settle(dictionary), settle(nouns), 20, 0.7, 0.6)[0]
 
 
-@query()
+GREEDY = {
+    "can": "SELECT lineage AS set_id, CAST(count(*) AS DOUBLE) AS energy FROM signatures GROUP BY 1",
+    "sh": "SELECT a.lineage AS a, b.lineage AS b, count(*) AS c FROM signatures a JOIN signatures b ON a.gene = b.gene AND a.lineage <> b.lineage GROUP BY 1, 2",
+    "clo": """SELECT a, list(b) AS near FROM sh JOIN can x ON x.set_id = a JOIN can y ON y.set_id = b WHERE c / least(x.energy, y.energy) >= 0.30 GROUP BY 1""",
+    "cand": "SELECT set_id, energy, list_prepend(set_id, coalesce(near, [])) AS out FROM can LEFT JOIN clo ON a = set_id",
+    "gre": """WITH RECURSIVE g AS (
+        SELECT 0 AS position, (SELECT arg_min(set_id, (-energy, set_id)) FROM cand) AS set_id, CAST([] AS BIGINT[]) AS before
+        UNION ALL SELECT position + 1, (SELECT arg_min(c.set_id, (-c.energy, c.set_id)) FROM cand c WHERE NOT list_contains(list_concat(g.before, d.out), c.set_id)),
+            list_concat(g.before, d.out) FROM g JOIN cand d ON d.set_id = g.set_id WHERE position < 7)
+        SELECT CAST(position AS INTEGER) AS position, set_id FROM g WHERE set_id IS NOT NULL""",
+}
+
+
+@query(V.oracle("SELECT set_id, energy, position FROM gre JOIN can USING (set_id)", "signatures", steps=GREEDY))
 def greedy_dedupe(spark, sf):
     s = settle(V.signatures(spark, sf))
     energy = s.groupBy(F.col("lineage").alias("set_id")).agg(F.count(F.lit(1)).cast("double").alias("energy"))

@@ -365,9 +365,19 @@ def links_between(spark, sf):
     return meta.links_between(links, meta.network_nodes(links).filter("label <= '3'"))
 
 
-@query()
+@_meta_query(f"""SELECT 'node' AS kind, id AS a, label AS b, CAST(degree AS DOUBLE) AS weight, CAST(NULL AS DOUBLE) AS fdr FROM ({NODES})
+    UNION ALL SELECT 'link', source, target, round(weight, 6), round(fdr, 6) FROM ({LINKS})""")
 def network_tables(spark, sf):
-    return meta.network_payload(_links(spark, sf))
+    """The network's JSON text, read back."""
+    shape = ("struct<nodes: array<struct<id: string, label: string, degree: long>>, "
+             "links: array<struct<source: string, target: string, weight: double, fdr: double>>>")
+    read = meta.network_payload(_links(spark, sf)).select(F.from_json("payload", shape).alias("p"))
+    nodes = read.select(F.explode("p.nodes").alias("n")).select(
+        F.lit("node").alias("kind"), F.col("n.id").alias("a"), F.col("n.label").alias("b"), F.col("n.degree").cast("double").alias("weight"),
+        F.lit(None).cast("double").alias("fdr"))
+    links = read.select(F.explode("p.links").alias("l")).select(
+        F.lit("link").alias("kind"), F.col("l.source").alias("a"), F.col("l.target").alias("b"), F.round("l.weight", 6).alias("weight"), F.round("l.fdr", 6).alias("fdr"))
+    return nodes.unionByName(links)
 
 
 @query(V.oracle("""SELECT a.program_id AS i, b.program_id AS j, a.name || '<->' || b.name AS "Interface" FROM program_names a

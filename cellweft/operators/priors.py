@@ -19,10 +19,6 @@ from cellweft.session import settle
 SAMPLE, CELL, GENE, PROGRAM = "sample_id", "cell_id", "gene", "program_id"
 
 
-def set_sizes(sets: DataFrame, ident: str) -> DataFrame:
-    return sets.groupBy(ident).agg(F.count(F.lit(1)).alias("n"))
-
-
 def shared_genes(left: DataFrame, right: DataFrame) -> DataFrame:
     """``(a, b, shared, na, nb)`` for sets (a, gene) and (b, gene) with a common gene."""
     both = left.select("a", GENE).join(right.select("b", GENE), GENE).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))

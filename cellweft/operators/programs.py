@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cellweft.functions import simplex
 from cellweft.functions.scalar import EPS
 from cellweft.operators import qc
-from cellweft.operators.ordering import exact_quantiles, hash_key, hash_rank
+from cellweft.operators.ordering import bucketed_rank, exact_quantiles, hash_key, hash_rank
 from cellweft.session import settle
 
 SAMPLE, CELL, GENE, PROGRAM = "sample_id", "cell_id", "gene", "program_id"
@@ -153,12 +153,12 @@ def entropy_pruning(mass: DataFrame, n_perms: int, quantile: float = 0.01, enabl
     """Programs whose entropy over patients exceeds the low quantile of shuffled mass matrices.
 
     Output ``(program_id, entropy, threshold, kept)``. A permutation re-pairs the cells of the
-    flattened matrix by hash order.
+    flattened matrix by hash order. Ranks are taken in parts, so no task holds all patients.
     """
     full = full_mass(mass).withColumn("_at", F.concat_ws(":", "patient_id", F.col(PROGRAM).cast("string")))
-    fixed = full.withColumn("rank", F.row_number().over(Window.orderBy(PROGRAM, "patient_id"))).select(PROGRAM, "rank")
+    fixed = bucketed_rank(full.withColumn("_all", F.lit(0)), ["_all"], [PROGRAM], [F.col("patient_id")], "rank").select(PROGRAM, "rank")
     perms = full.select("_at", "mass", F.explode(F.sequence(F.lit(1), F.lit(n_perms))).alias("perm"))
-    drawn = perms.withColumn("rank", F.row_number().over(Window.partitionBy("perm").orderBy(hash_key("_at", F.col("perm")), "_at")))
+    drawn = hash_rank(perms, ["perm"], "_at", F.col("perm"), "rank")
     null = settle(_entropy(drawn.join(fixed, "rank").select("perm", PROGRAM, "mass"), ["perm", PROGRAM]))
     one = F.lit(1).alias("_one")
     limit = exact_quantiles(null.select(one, "entropy"), ["_one"], "entropy", {"threshold": quantile})
@@ -175,7 +175,3 @@ def refinement_report(pruned: DataFrame, mass: DataFrame, programs: DataFrame) -
              .select(PROGRAM, F.array_join(F.col("_g.t"), ", ").alias("top_genes")))
     t = pruned.join(total, PROGRAM).join(genes, PROGRAM, "left")
     return t.select(PROGRAM, "kept", F.format_string("%.1f%%", "_top").alias("top_patient_share"), "top_genes")
-
-
-def hash_subset(df: DataFrame, keys: list[str], ident: str, cap: int, seed: int = 42) -> DataFrame:
-    return hash_rank(df, keys, ident, seed).filter(F.col("rn") <= cap).drop("rn")

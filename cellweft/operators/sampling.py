@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 from cellweft.functions.simplex import l2_normalize
 from cellweft.operators import factor, graph, spatial
-from cellweft.operators.ordering import bucketed_rank, hash_key, hash_rank, hash_unit
+from cellweft.operators.ordering import BUCKET_ROWS, bucketed_rank, hash_key, hash_rank, hash_unit
 from cellweft.session import settle
 
 SAMPLE, CELL, GENE = "sample_id", "cell_id", "gene"
-# One grid square may be hot: its cells are ordered by hash and ranked in this many parts.
-HASH_PARTS = 16
+
+
+def _hash_part(rows: Column) -> Column:
+    """One grid square may hold all of a group's ``rows``: cells are ordered by hash and ranked in as many parts as that needs."""
+    return F.floor(hash_unit(F.col("_h")) * F.ceil(rows / F.lit(float(BUCKET_ROWS))))
 
 
 def _square(boxed: DataFrame, n: Column, clipped: bool) -> DataFrame:
@@ -32,7 +35,7 @@ def spatial_chunks(cells: DataFrame, chunk_cells: int, seed: int = 42) -> DataFr
     boxed = cells.select(SAMPLE, CELL, "x", "y").join(spatial.extents(cells), SAMPLE)
     bins = F.ceil(F.sqrt(F.col("n_cells") / F.lit(float(chunk_cells)))).cast("int")
     placed = (_square(boxed, bins, False).withColumn("_h", hash_key(CELL, seed))
-              .withColumn("_part", F.floor(hash_unit(F.col("_h")) * HASH_PARTS)))
+              .withColumn("_part", _hash_part(F.col("n_cells"))))
     ranked = bucketed_rank(placed, [SAMPLE], ["gx", "gy", "_part"], [F.col("_h"), F.col(CELL)])
     return ranked.select(SAMPLE, CELL, F.floor((F.col("rn") - 1) / chunk_cells).cast("int").alias("chunk_id"))
 
@@ -59,7 +62,7 @@ def grid_quota_sample(cells: DataFrame, target: DataFrame, bins: Column, group:
     ranked = hash_rank(placed.join(squares, [*keys, "gx", "gy"]), [*keys, "gx", "gy"], CELL, seed, "_r", size="_in").join(per, keys)
     quota = F.greatest(F.lit(1), F.floor(F.col("target") / F.col("_occupied")))
     flagged = (ranked.withColumn("_late", F.when(F.col("_r") <= quota, 0).otherwise(1)).withColumn("_h", hash_key(CELL, seed))
-                     .withColumn("_part", F.floor(hash_unit(F.col("_h")) * HASH_PARTS)))
+                     .withColumn("_part", _hash_part(F.col("_all"))))
     order = bucketed_rank(flagged, keys, ["_late", "_part"], [F.col("_h"), F.col(CELL)], "_o")
     kept = order.filter((F.col("_o") <= F.col("target")) | (F.col("_all") <= F.col("target")))
     return kept.select(*dict.fromkeys([*keys, SAMPLE, CELL]))
