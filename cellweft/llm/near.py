@@ -83,8 +83,13 @@ def _set_columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _bucket_pairs(by_group: bool):
     """Pairs that share a table key and agree in enough minhashes, from rows sorted by bucket ``key, i, j``.
 
-    For each row its best partner, or (``by_group``) each pair of different groups once in a batch.
+    For each row its best partner, or (``by_group``) pairs of different groups, each pair of rows only in the first table they share.
     """
+    def is_first(same: np.ndarray, table: np.ndarray) -> np.ndarray:
+        """Whether ``table`` is the first pair of collections in which rows agree; ``same`` says which of their minhashes do."""
+        agree = same.reshape(-1, 2, COLLECTIONS, MINHASHES).all(axis=3).argmax(axis=2)
+        return agree[:, 0] * COLLECTIONS + agree[:, 1] == table
+
     def pairs(bucket: np.ndarray, block: np.ndarray, half: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
         later = np.repeat(np.append(starts[1:], len(bucket)), np.diff(np.append(starts, len(bucket)))) - np.arange(len(bucket)) - 1
@@ -102,15 +107,18 @@ def _bucket_pairs(by_group: bool):
     def of(rows: pa.Table) -> pa.RecordBatch:
         node, block, label = (rows[c].to_numpy() for c in ("node", "block", "label"))
         marks = np.frombuffer(b"".join(rows["marks"].to_pylist()), dtype=np.uint8).reshape(-1, _TOTAL)
-        bucket = rows["bucket"].to_numpy()
+        bucket, table = rows["bucket"].to_numpy(), rows["table"].to_numpy()
         half = rows["i"].to_numpy() != rows["j"].to_numpy()
         out = []
         for x, y in pairs(bucket, block, half):
             if by_group:
                 other = label[x] != label[y]
                 x, y = x[other], y[other]
-            agree = (marks[x] == marks[y]).sum(axis=1)
+            same = marks[x] == marks[y]
+            agree = same.sum(axis=1)
             good = agree >= AGREEING
+            if by_group:
+                good &= is_first(same, table[x])
             x, y, agree = x[good], y[good], agree[good]
             if by_group:
                 low, high = np.minimum(label[x], label[y]), np.maximum(label[x], label[y])
@@ -141,15 +149,21 @@ def _bucket_pairs(by_group: bool):
 
 
 def bucket_pairs(nodes: DataFrame, by_group: bool) -> DataFrame:
-    """Candidate pairs of ``nodes(node, label, marks, left, right)`` by table keys: every left collection key with every right one."""
+    """Candidate pairs of ``nodes(node, label, marks, left, right)`` by table keys.
+
+    Pairs of groups come from all tables, each left collection with each right one; best partners, which need not be complete, from
+    the tables of collections of one number.
+    """
+    right = F.col("right") if by_group else F.filter("right", lambda r: r["pos"] == F.col("l.pos") + COLLECTIONS)
     keyed = (nodes.select("node", "label", "marks", F.explode("left").alias("l"), "right")
-             .select("node", "label", "marks", "l", F.explode("right").alias("r")).select(F.xxhash64("l", "r").alias("key"), "node", "label", "marks"))
+             .select("node", "label", "marks", "l", F.explode(right).alias("r"))
+             .select(F.xxhash64("l.key", "r.key").alias("key"), (F.col("l.pos") * COLLECTIONS + F.col("r.pos") - COLLECTIONS).alias("table"), "node", "label", "marks"))
     full = keep(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK)
                 .select("key", F.ceil(F.col("n") / BLOCK).alias("blocks")))
     blocks = F.coalesce("blocks", F.lit(1))
     rows = (keyed.join(full, "key", "left").withColumn("block", F.pmod(F.xxhash64("node"), blocks))
             .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-            .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "label", "block", "marks")
+            .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "label", "block", "marks", "table")
             .withColumn("bucket", F.xxhash64("key", "i", "j")))
     ordered = rows.repartition("bucket").sortWithinPartitions("bucket", "node")
     return ordered.mapInArrow(_bucket_pairs(by_group), "a bigint, b bigint, agree bigint")
@@ -213,8 +227,8 @@ def near_signatures(signatures: DataFrame) -> DataFrame:
     reachable over links, and whether it is this row's own.
 
     Equal sets become one node first. A node has two sides of small minhash collections; nodes that share no collection on either side drop
-    out, the others meet in the tables of all pairs of collections. There each node is paired with its most agreeing partner; these pairs
-    are confirmed on the full sets and joined into groups. A second pass over the tables finds pairs of groups that some of their members
+    out, the others meet in the tables of all pairs of collections. First each node is paired with its most agreeing partner; these pairs
+    are confirmed on the full sets and joined into groups. A pass over all tables then finds pairs of groups that some of their members
     may link, and those are confirmed member by member. So the rows that are made follow the nodes, not the pairs, however many copies
     a text has; no candidate is dropped. Candidates are found by minhash: a pair at the limit is missed with a probability below 0.0004.
 
@@ -232,7 +246,7 @@ def near_signatures(signatures: DataFrame) -> DataFrame:
     each = nodes.select("node", F.posexplode("keys").alias("pos", "key"))
     common = each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
     sides = (each.join(common.hint("merge"), "key", "left_semi").groupBy("node")
-             .agg(*[F.collect_list(F.when(c, F.col("key"))).alias(n) for n, c in (("left", F.col("pos") < COLLECTIONS),
+             .agg(*[F.collect_list(F.when(c, F.struct("pos", "key"))).alias(n) for n, c in (("left", F.col("pos") < COLLECTIONS),
                                                                                  ("right", F.col("pos") >= COLLECTIONS))])
              .filter((F.size("left") > 0) & (F.size("right") > 0)))
     close = keep(nodes.select("node", "lineage", "set_id", "marks").join(sides, "node"))
