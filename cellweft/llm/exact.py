@@ -18,7 +18,8 @@ def equal_signatures(signatures: DataFrame, digit: int = DIGIT, growth: int = GR
 
     Rows are split by their first ``digit`` bytes, the parts by the next ``digit * growth`` bytes, and so on, until a part has one row or
     its texts have ended; all rows of an ended part are equal, byte by byte. A round groups by (part, digit) with map-side sums, so a part
-    that holds a third of all rows is only counted, never gathered. Only rows whose part is still open reach the next round.
+    that holds a third of all rows is only counted, never gathered. Only rows whose part is still open reach the next round. Tables
+    of parts grow with the rows, so they are never broadcast; the joins are sort-merge joins whose skewed sides Spark splits.
 
     Returns ``lineage, keep_lineage, group_size, kept, text_sha256``, a row for each input row. The longest original (in code
     points) stays, then the smallest lineage (null first). The sha256 is for the reader and tells rows of one lineage apart; groups
@@ -38,11 +39,11 @@ def equal_signatures(signatures: DataFrame, digit: int = DIGIT, growth: int = GR
         parts = keep(cut.groupBy("_part", "_digit").agg(F.count(F.lit(1)).alias("_n"), longest).filter("_n > 1")
                      .withColumn("_next", F.monotonically_increasing_id()))
         ended = F.octet_length("_digit") < width
-        here = cut.join(parts.filter(ended), ["_part", "_digit"])
+        here = cut.join(parts.filter(ended).hint("merge"), ["_part", "_digit"])
         found.append(keep(here.groupBy("lineage", "_sha").agg(F.first("_best").alias("_best"), F.first("_n").alias("_n"))))
         growing = parts.filter(~ended)
         done = growing.isEmpty()
-        after = None if done else keep(cut.join(growing, ["_part", "_digit"])
+        after = None if done else keep(cut.join(growing.hint("merge"), ["_part", "_digit"])
                                        .select(F.col("_next").alias("_part"), "lineage", "_size", "_sha", "_text"))
         drop_table(parts)
         if width > digit:
@@ -52,7 +53,7 @@ def equal_signatures(signatures: DataFrame, digit: int = DIGIT, growth: int = GR
         left, width = after, width * growth
     groups = reduce(DataFrame.unionByName, found).withColumnRenamed("lineage", "_lineage").withColumnRenamed("_sha", "_name")
     alone = F.col("_n").isNull()
-    return (rows.drop("_text").join(groups, F.col("lineage").eqNullSafe(F.col("_lineage")) & (F.col("_sha") == F.col("_name")), "left")
+    return (rows.drop("_text").join(groups.hint("merge"), F.col("lineage").eqNullSafe(F.col("_lineage")) & (F.col("_sha") == F.col("_name")), "left")
             .select("lineage", F.when(alone, F.col("lineage")).otherwise(F.col("_best.lineage")).alias("keep_lineage"),
                     F.coalesce("_n", F.lit(1)).cast("long").alias("group_size"),
                     (alone | (F.col("_best.lineage").eqNullSafe(F.col("lineage")) & (-F.col("_best.size") == F.col("_size")))).alias("kept"),
