@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellweft.session import settle
+from cellweft.session import ensure_checkpoint_dir
 
 #: White space that separates words: blank, tab, line feed, vertical tab, form feed, carriage return. ``bytes.split()`` uses the same.
 SPACE = "[\\x20\\x09-\\x0D]+"
@@ -18,9 +19,13 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
-def keep(df: DataFrame) -> DataFrame:
+def keep(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """A written table in the shared folder: lost executors cost no more than the stage that wrote it."""
-    return settle(df)
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
+    df.write.option("compression", codec).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_table(table: DataFrame) -> None:

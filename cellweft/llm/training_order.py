@@ -78,15 +78,6 @@ class Tokens(dict):
         return self[first] + b"".join([self[" " + p] for p in rest])
 
 
-def squeeze(ids: bytes) -> bytes:
-    """Low bytes, then high bytes, compressed: what moves between tasks is smaller than what is written."""
-    return zstandard.compress(np.frombuffer(ids, dtype=np.uint8).reshape(-1, 2).T.tobytes(), 3)
-
-
-def unsqueeze(data: bytes) -> bytes:
-    return np.frombuffer(zstandard.decompress(data), dtype=np.uint8).reshape(2, -1).T.tobytes()
-
-
 def _packed(vocabulary: str, stride: int):
     """Sequences of one partition: its texts one after another, each with an end token; the last is filled with end tokens."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,23 +102,26 @@ def _packed(vocabulary: str, stride: int):
                     held += ids[2 * start:2 * (start + n)]
                     start += n
                     if len(held) == 2 * stride:
-                        rows.append((index, squeeze(bytes(held)), pieces))
+                        rows.append((index, bytes(held), pieces))
                         index, held, pieces = index + 1, bytearray(), []
             if rows:
                 yield batch_of(rows)
         if held:
             full = bytes(held) + tokens.end * (stride - len(held) // 2)
-            yield batch_of([(index, squeeze(full), pieces)])
+            yield batch_of([(index, full, pieces)])
     return run
 
 
 def _slotted(offsets: dict[int, int], order: Feistel):
-    """Replace ``part, index`` by the slot; the other columns stay."""
+    """Replace ``part, index`` by the slot. Tokens are compressed sequence by sequence, for the shuffle; pieces stay."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             before = np.array([offsets[p] for p in batch.column(0).to_pylist()], dtype=np.int64)
             slot = order(before + batch.column(1).to_numpy(zero_copy_only=False))
-            yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int64()), *batch.columns[2:]], names=["slot", *batch.schema.names[2:]])
+            rest = batch.column(2)
+            if batch.schema.names[2] == "tokens":
+                rest = pa.array([zstandard.compress(x.as_py(), 6) for x in rest], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int64()), rest], names=["slot", batch.schema.names[2]])
     return run
 
 
@@ -163,7 +157,7 @@ def _written(out: str, shard_rows: int):
                     shard, n = slot // shard_rows, 0
                     aside = f"{shard_name(folder, shard)}.{TaskContext.get().taskAttemptId()}.part"
                     stream = files.open_output_stream(aside)
-                stream.write(unsqueeze(data))
+                stream.write(zstandard.decompress(data))
                 n += 1
         close()
         yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], pa.int64()) for i in (0, 1)], names=["shard", "n"])
@@ -190,7 +184,7 @@ def write_training_order(signatures: DataFrame, vocabulary: str, out: str, strid
     rows = signature_rows(signatures)
     kind = rows.schema["lineage"].dataType.simpleString()
     piece = f"struct<lineage: {kind}, start: bigint, position: int, n_tokens: int>"
-    packed = keep(rows.mapInArrow(_packed(vocabulary, stride), f"part int, index bigint, tokens binary, pieces array<{piece}>"))
+    packed = keep(rows.mapInArrow(_packed(vocabulary, stride), f"part int, index bigint, tokens binary, pieces array<{piece}>"), "zstd")
     offsets, total = {}, 0
     for part, n in packed.groupBy("part").count().orderBy("part").collect():  # a row for each task that packed, not for each sequence
         offsets[part], total = total, total + n
