@@ -15,8 +15,8 @@ from cellweft.llm.common import few_rows, keep, mix64, signature_rows
 
 #: Word classes; the most frequent words have one each, the others share ``TAIL`` by their last letters and length.
 CLASSES, TAIL = 128, 32
-#: Words that every task knows with their counts; all others are looked up by a join. Longer words are never among them.
-KNOWN_WORDS, KNOWN_LENGTH = 1 << 18, 64
+#: Words that every task knows with their counts, at most; all others are looked up by a join. Longer words are never among them.
+KNOWN_WORDS, KNOWN_LENGTH = 1 << 17, 64
 #: Buckets of the hashed pair feature, rounds of gradient steps, and the weight of the quadratic prior.
 PAIR_BUCKETS, ROUNDS, PRIOR = 4096, 12, 0.5
 #: Distinct words that a task counts before it hands them on.
@@ -172,30 +172,35 @@ def _context_counts(vocabulary: Vocabulary):
     return run
 
 
-def _gradient(weights: Weights):
-    """Observed and expected sums of each feature and class over a partition of contexts, as sparse rows."""
+def _feature_sums(weights: Weights, expected: bool):
+    """Sums of each feature and class over a partition of contexts, as sparse rows: as observed, or as the weights expect."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, hoped, width = None, None, [len(w) for w in weights.parts()]
+        width = [len(w) for w in weights.parts()]
+        sums = np.zeros((sum(width), CLASSES))
         for b in batches:
             if not b.num_rows:
                 continue
-            if seen is None:
-                seen, hoped = np.zeros((sum(width), CLASSES)), np.zeros((sum(width), CLASSES))
-            context = b.column(0).to_numpy()
-            observed = np.zeros((len(context), CLASSES))
-            for i, row in enumerate(b.column(1).to_pylist()):
-                observed[i, [x["class"] for x in row]] = [x["n"] for x in row]
-            expected = np.exp(weights.log_softmax(context)) * observed.sum(axis=1, keepdims=True)
+            context, lists = b.column(0).to_numpy(), b.column(1)
+            at = np.repeat(np.arange(len(context)), np.diff(lists.offsets.to_numpy()))
+            each = lists.flatten()
+            seen = np.zeros((len(context), CLASSES))
+            seen[at, each.field(0).to_numpy()] = each.field(1).to_numpy()
+            if expected:
+                seen = np.exp(weights.log_softmax(context)) * seen.sum(axis=1, keepdims=True)
             for f, offset in zip(features(context), np.cumsum([0, *width[:-1]]), strict=True):
-                np.add.at(seen, f + offset, observed)
-                np.add.at(hoped, f + offset, expected)
-        if seen is not None:
-            rows = np.flatnonzero(seen.sum(axis=1))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rows, pa.int64()), *[pa.array([x[r].tobytes() for r in rows], pa.binary()) for x in (seen, hoped)]], names=["row", "seen", "hoped"])
+                np.add.at(sums, f + offset, seen)
+        rows = np.flatnonzero(sums.sum(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array([sums[r].astype(np.float32).tobytes() for r in rows], pa.binary())], names=["row", "sums"])
     return run
 
 
+def _summed(table: DataFrame, weights: Weights, expected: bool) -> np.ndarray:
+    total = np.zeros((sum(len(w) for w in weights.parts()), CLASSES))
+    for row in table.mapInArrow(_feature_sums(weights, expected), "row bigint, sums binary").collect():
+        total[row.row] += np.frombuffer(row.sums, dtype=np.float32)
+    return total
+
+
 def fit_weights(table: DataFrame, rounds: int = ROUNDS, prior: float = PRIOR) -> Weights:
     """Full-batch gradient steps on ``table(context, following)``, a row for each of at most ``CLASSES ** 2`` contexts.
 
@@ -203,16 +208,12 @@ def fit_weights(table: DataFrame, rounds: int = ROUNDS, prior: float = PRIOR) ->
     scaled by the sums of its own weight, so rare and frequent features move alike.
     """
     weights = Weights.zero()
+    seen = _summed(table, weights, expected=False)
     for _ in range(rounds):
-        size = [len(w) for w in weights.parts()]
-        seen, hoped = np.zeros((sum(size), CLASSES)), np.zeros((sum(size), CLASSES))
-        for row in table.mapInArrow(_gradient(weights), "row bigint, seen binary, hoped binary").collect():
-            seen[row.row] += np.frombuffer(row.seen)
-            hoped[row.row] += np.frombuffer(row.hoped)
-        at = 0
+        hoped, at = _summed(table, weights, expected=True), 0
         for w in weights.parts():
             part = slice(at, at + len(w))
-            w += (2 / len(size)) * (seen[part] - hoped[part] - prior * w) / (seen[part] + hoped[part] + prior)
+            w += (2 / len(weights.parts())) * (seen[part] - hoped[part] - prior * w) / (seen[part] + hoped[part] + prior)
             at += len(w)
     return weights
 
@@ -226,29 +227,32 @@ def _score_columns(vocabulary: Vocabulary, weights: Weights):
         seen = np.concatenate([vocabulary.counts > 0, nothing > 0]).astype(np.int64)
         base = np.concatenate([vocabulary.log_base(vocabulary.counts), nothing])
         inside = np.concatenate([vocabulary.log_in_class(vocabulary.counts, classes[:known]), nothing])
-        word = pa.struct([("word", pa.binary()), ("class", pa.int32()), ("n", pa.int32())])
         for b in few_rows(batches):
             words, code, ends = _coded(b.column(2).to_pylist(), codes)
             c = classes[code]
             model = after[contexts(c, ends, 0), c].astype(np.float64) + inside[code]
-            starts, rare = np.append(0, ends[:-1]), code >= known
+            starts = np.append(0, ends[:-1])
             sums = [np.add.reduceat(x, starts) for x in (np.ones(len(code), np.int64), seen[code], base[code], model)]
-            places = np.flatnonzero(rare)
-            edges, tails = np.searchsorted(places, np.append(0, ends)), []
-            for i, j in zip(edges[:-1], edges[1:], strict=True):
-                n = Counter([words[p] for p in places[i:j]])
-                tails.append([{"word": w, "class": tail_class(w), "n": k} for w, k in n.items()])
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns[:2], *[pa.array(x) for x in sums], pa.array(tails, pa.list_(word))],
-                names=["lineage", "is_train", "n_tokens", "n_known", "base_score", "score", "rare"])
+            places = np.flatnonzero(code >= known)
+            edges = pa.array(np.searchsorted(places, np.append(0, ends)).astype(np.int32))
+            rare = [pa.ListArray.from_arrays(edges, x) for x in (pa.array([words[p] for p in places], pa.binary()), pa.array(code[places] - known, pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], *[pa.array(x) for x in sums], *rare],
+                                             names=["lineage", "is_train", "n_tokens", "n_known", "base_score", "score", "rare", "classes"])
     return run
 
 
 def learn_vocabulary(texts: DataFrame, known_words: int = KNOWN_WORDS) -> tuple[Vocabulary, DataFrame]:
     """Counts of all words of ``texts(genes)`` as a written table ``word, c``, and the bounded part that every task knows."""
     counts = keep(texts.select("genes").mapInArrow(_count_words, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c")))
-    frequent = (counts.filter((F.octet_length("word") <= KNOWN_LENGTH) & (F.octet_length("word") > 0)).orderBy(F.desc("c"), "word")
-                .limit(known_words - 1).collect())
+    # Counts are cut at one of a few hundred steps, so that no task sorts and no more words than asked for reach the driver.
+    level = F.floor(F.log2("c") * 8).cast("int")
+    short = counts.filter((F.octet_length("word") <= KNOWN_LENGTH) & (F.octet_length("word") > 0)).withColumn("level", level)
+    room, cut = known_words - 1, 2 ** 31 - 1
+    for r in sorted(short.groupBy("level").count().collect(), key=lambda r: -r.level):
+        if (room := room - r["count"]) < 0:
+            break
+        cut = r.level
+    frequent = sorted(short.filter(F.col("level") >= cut).select("word", "c").collect(), key=lambda r: (-r.c, bytes(r.word)))
     ends = counts.filter(F.octet_length("word") == 0).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     vocabulary = Vocabulary([END, *[bytes(r.word) for r in frequent]], np.array([ends, *[r.c for r in frequent]], dtype=np.float64))
     own = vocabulary.words[:CLASSES - TAIL]
@@ -267,7 +271,7 @@ def score_signatures(signatures: DataFrame, known_words: int = KNOWN_WORDS, roun
     its class, from hashed n-gram and skip features of the two classes before it, and the word in its class; each class keeps a share
     for unseen words, so the probabilities of all words seen and of one unseen word a class sum to one. All training texts count: words are
     counted by a shuffle, and contexts with what follows them, which is all that the gradient needs, likewise. Gradient rounds run
-    over the contexts in tasks. Texts are then scored in numpy batches; words beyond the ``known_words`` most frequent are joined with their counts.
+    over the contexts in tasks. Texts are then scored in numpy batches; words beyond the ``known_words`` most frequent (or some fewer) are joined with their counts.
 
     Returns ``lineage, is_train, n_tokens, n_known, train_tokens, base_score, score``: tokens, those seen in training, all training
     tokens, the sum of ``log10((c + 1) / (N + V + 1))``, and the model's log10 probability.
@@ -282,20 +286,19 @@ def score_signatures(signatures: DataFrame, known_words: int = KNOWN_WORDS, roun
     cells = train.mapInArrow(_context_counts(vocabulary), "context bigint, class bigint, n bigint").groupBy("context", "class").agg(F.sum("n").alias("n"))
     table = keep(cells.groupBy("context").agg(F.collect_list(F.struct("class", "n")).alias("following")).coalesce(4))
     weights = fit_weights(table, rounds)
-    rare = "array<struct<word: binary, class: int, n: int>>"
     scored = keep(rows.select("lineage", "is_train", "genes").mapInArrow(
         _score_columns(vocabulary, weights),
-        f"lineage {kind}, is_train boolean, n_tokens bigint, n_known bigint, base_score double, score double, rare {rare}")
+        f"lineage {kind}, is_train boolean, n_tokens bigint, n_known bigint, base_score double, score double, rare array<binary>, classes array<int>")
         .withColumn("row", F.monotonically_increasing_id()))
-    each = scored.select("row", F.explode("rare").alias("r")).select("row", "r.*").join(counts, "word", "left")
+    each = (scored.select("row", F.explode(F.arrays_zip("rare", "classes")).alias("r"))
+            .select("row", F.col("r.rare").alias("word"), F.col("r.classes").alias("class")).join(counts.hint("merge"), "word", "left"))
     c = F.coalesce("c", F.lit(0))
     unseen = F.array(*[F.lit(float(x)) for x in vocabulary.unseen()])[F.col("class")]
     tokens = F.array(*[F.lit(float(max(x, 1))) for x in vocabulary.sums[0]])[F.col("class")]
     inside = F.log10(F.when(c > 0, (1 - unseen) * c / tokens).otherwise(unseen))
     base = F.log10((c + 1) / F.lit(float(vocabulary.tokens + vocabulary.distinct + 1)))
-    more = each.groupBy("row").agg(F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("k"), F.sum(F.col("n") * base).alias("b"),
-                                   F.sum(F.col("n") * inside).alias("s"))
+    more = each.groupBy("row").agg(F.count_if(c > 0).alias("k"), F.sum(base).alias("b"), F.sum(inside).alias("s"))
     plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
-    return scored.drop("rare").join(more, "row", "left").select(
+    return scored.drop("rare", "classes").join(more, "row", "left").select(
         "lineage", "is_train", "n_tokens", plus("n_known", "k").cast("long").alias("n_known"), F.lit(vocabulary.tokens).cast("long").alias("train_tokens"),
         plus("base_score", "b").alias("base_score"), plus("score", "s").alias("score"))
