@@ -85,9 +85,9 @@ def _bucket_pairs(by_group: bool):
 
     For each row its best partner, or (``by_group``) pairs of different groups, each pair of rows only in the first table they share.
     """
-    def is_first(same: np.ndarray, table: np.ndarray) -> np.ndarray:
-        """Whether ``table`` is the first pair of collections in which rows agree; ``same`` says which of their minhashes do."""
-        agree = same.reshape(-1, 2, COLLECTIONS, MINHASHES).all(axis=3).argmax(axis=2)
+    def is_first(keys: np.ndarray, x: np.ndarray, y: np.ndarray, table: np.ndarray) -> np.ndarray:
+        """Whether ``table`` is the first pair of collections in which rows agree, by the keys that tables are made of: marks may agree by chance."""
+        agree = np.stack([keys[x, i] == keys[y, i] for i in range(2 * COLLECTIONS)], axis=1).reshape(-1, 2, COLLECTIONS).argmax(axis=2)
         return agree[:, 0] * COLLECTIONS + agree[:, 1] == table
 
     def pairs(bucket: np.ndarray, block: np.ndarray, half: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -109,18 +109,18 @@ def _bucket_pairs(by_group: bool):
         marks = np.frombuffer(b"".join(rows["marks"].to_pylist()), dtype=np.uint8).reshape(-1, _TOTAL)
         bucket, table = rows["bucket"].to_numpy(), rows["table"].to_numpy()
         half = rows["i"].to_numpy() != rows["j"].to_numpy()
+        keys = rows["keys"].combine_chunks().flatten().to_numpy().reshape(-1, 2 * COLLECTIONS) if by_group else None
         out = []
         for x, y in pairs(bucket, block, half):
             if by_group:
                 other = label[x] != label[y]
                 x, y = x[other], y[other]
-            same = marks[x] == marks[y]
-            agree = same.sum(axis=1)
+            agree = (marks[x] == marks[y]).sum(axis=1)
             good = agree >= AGREEING
-            if by_group:
-                good &= is_first(same, table[x])
             x, y, agree = x[good], y[good], agree[good]
             if by_group:
+                first = is_first(keys, x, y, table[x])
+                x, y = x[first], y[first]
                 low, high = np.minimum(label[x], label[y]), np.maximum(label[x], label[y])
                 out.append(np.unique(np.stack([low, high, np.zeros_like(low)], axis=1), axis=0))
             else:
@@ -149,21 +149,24 @@ def _bucket_pairs(by_group: bool):
 
 
 def bucket_pairs(nodes: DataFrame, by_group: bool) -> DataFrame:
-    """Candidate pairs of ``nodes(node, label, marks, left, right)`` by table keys.
+    """Candidate pairs of ``nodes(node, label, marks, left, right)`` by table keys, with ``keys`` of all collections for pairs of groups.
 
     Pairs of groups come from all tables, each left collection with each right one; best partners, which need not be complete, from
-    the tables of collections of one number.
+    the tables of collections of one number. Only table keys with rows of two groups can give pairs of groups; marks and keys go to those alone.
     """
     right = F.col("right") if by_group else F.filter("right", lambda r: r["pos"] == F.col("l.pos") + COLLECTIONS)
-    keyed = (nodes.select("node", "label", "marks", F.explode("left").alias("l"), "right")
-             .select("node", "label", "marks", "l", F.explode(right).alias("r"))
-             .select(F.xxhash64("l.key", "r.key").alias("key"), (F.col("l.pos") * COLLECTIONS + F.col("r.pos") - COLLECTIONS).alias("table"), "node", "label", "marks"))
-    full = keep(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK)
+    given, later = (["node", "label"], ["marks", "keys"]) if by_group else (["node", "label", "marks"], [])
+    keyed = (nodes.select(*given, F.explode("left").alias("l"), "right")
+             .select(*given, "l", F.explode(right).alias("r"))
+             .select(F.xxhash64("l.key", "r.key").alias("key"), (F.col("l.pos") * COLLECTIONS + F.col("r.pos") - COLLECTIONS).alias("table"), *given))
+    counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
+    full = keep(counts.filter(F.col("low") < F.col("high") if by_group else F.col("n") > BLOCK)
                 .select("key", F.ceil(F.col("n") / BLOCK).alias("blocks")))
     blocks = F.coalesce("blocks", F.lit(1))
-    rows = (keyed.join(full, "key", "left").withColumn("block", F.pmod(F.xxhash64("node"), blocks))
+    found = keyed.join(full.hint("merge"), "key").join(nodes.select("node", *later).hint("merge"), "node") if by_group else keyed.join(full, "key", "left")
+    rows = (found.withColumn("block", F.pmod(F.xxhash64("node"), blocks))
             .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-            .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "label", "block", "marks", "table")
+            .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "label", "block", "marks", "table", *later[1:])
             .withColumn("bucket", F.xxhash64("key", "i", "j")))
     ordered = rows.repartition("bucket").sortWithinPartitions("bucket", "node")
     return ordered.mapInArrow(_bucket_pairs(by_group), "a bigint, b bigint, agree bigint")
@@ -249,7 +252,7 @@ def near_signatures(signatures: DataFrame) -> DataFrame:
              .agg(*[F.collect_list(F.when(c, F.struct("pos", "key"))).alias(n) for n, c in (("left", F.col("pos") < COLLECTIONS),
                                                                                  ("right", F.col("pos") >= COLLECTIONS))])
              .filter((F.size("left") > 0) & (F.size("right") > 0)))
-    close = keep(nodes.select("node", "lineage", "set_id", "marks").join(sides, "node"))
+    close = keep(nodes.select("node", "lineage", "set_id", "marks", "keys").join(sides, "node"))
     texts = rows.select(F.col("lineage").alias("_l"), "genes")
     sets = keep(close.select("node", "set_id", "lineage").hint("merge").join(texts, F.col("lineage").eqNullSafe(F.col("_l")))
                 .select("node", "set_id", "genes").mapInArrow(_set_columns, "node bigint, items array<bigint>").dropDuplicates(["node"]))
@@ -257,7 +260,7 @@ def near_signatures(signatures: DataFrame) -> DataFrame:
             .groupBy("a").agg(F.max(F.struct("agree", "b")).alias("m")).select(F.least("a", "m.b").alias("a"), F.greatest("a", "m.b").alias("b")))
     links = keep(confirmed(keep(best.distinct()), sets))
     groups = connected(links)
-    labelled = keep(close.select("node", "marks", "left", "right").join(groups, "node", "left")
+    labelled = keep(close.select("node", "marks", "keys", "left", "right").join(groups, "node", "left")
                     .withColumn("label", F.coalesce("group", "node")).drop("group"))
     across = keep(bucket_pairs(labelled, by_group=True).select("a", "b").distinct())
     members = labelled.select("node", F.col("label").alias("group"))
