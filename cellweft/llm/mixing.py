@@ -43,7 +43,7 @@ def dataset_targets(cells: DataFrame, shares: Sequence[float] = SHARES, ratio: f
 
 
 def mix_datasets(cells: DataFrame, shares: Sequence[float] = SHARES, ratio: float = 1.5, cap: float = 2.0, seed: int = 1,
-                 part_rows: int = PART_ROWS) -> DataFrame:
+                 part_rows: int = PART_ROWS, carry: Sequence[str] = ()) -> DataFrame:
     """How much the mix takes of each of ``cells(dataset_id, cell_id, total, weight)``, repeats counted.
 
     A dataset is taken whole as often as its target allows (complete epochs). What is left of its budget is drawn without replacement by
@@ -55,10 +55,11 @@ def mix_datasets(cells: DataFrame, shares: Sequence[float] = SHARES, ratio: floa
     part is ordered on its own. So a dataset with a third of all rows is spread over many tasks.
 
     Null ``total`` or below 0 counts as 0, null ``weight`` as 1; a weight of 0 or less is drawn last. A null dataset is a dataset and
-    comes last. Ties in the key go by ``cell_id``; repeated rows are rows. No cells: no rows. Extra columns are left out.
+    comes last. Ties in the key go by ``cell_id``, then by the columns that ``carry`` names; repeated rows are rows. No cells: no rows. The
+    columns of ``carry`` come last in the result; other extra columns are left out.
     """
     rows = cells.select("dataset_id", "cell_id", F.greatest(F.coalesce(F.col("total"), F.lit(0)), F.lit(0)).cast("long").alias("total"),
-                        F.coalesce(F.col("weight").cast("double"), F.lit(1.0)).alias("weight"))
+                        F.coalesce(F.col("weight").cast("double"), F.lit(1.0)).alias("weight"), *carry)
     targets = dataset_targets(rows, shares, ratio, cap)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     plan = targets.withColumn("_epochs", epochs).withColumn(
@@ -73,11 +74,11 @@ def mix_datasets(cells: DataFrame, shares: Sequence[float] = SHARES, ratio: floa
     sums = keyed.groupBy(F.col("dataset_id").alias("_d"), F.col("_part").alias("_p")).agg(F.sum("total").alias("_sum"))
     running = Window.partitionBy("_d").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("_d", "_p", F.coalesce(F.sum("_sum").over(running), F.lit(0)).alias("_offset"))
-    inside = (Window.partitionBy("dataset_id", "_part").orderBy("_key", "_u", "cell_id")
+    inside = (Window.partitionBy("dataset_id", "_part").orderBy("_key", "_u", "cell_id", *carry)
               .rowsBetween(Window.unboundedPreceding, -1))
     ordered = keyed.withColumn("_before", F.coalesce(F.sum("total").over(inside), F.lit(0)))
     joined = ordered.join(offsets, F.col("dataset_id").eqNullSafe(F.col("_d")) & (F.col("_part") == F.col("_p")))
     room = F.col("_budget") - F.col("_offset") - F.col("_before")
     drawn = F.least(F.col("total"), F.greatest(room, F.lit(0)))
     return joined.select("dataset_id", "cell_id", "total", "source_size", "target",
-                         (F.col("_epochs") * F.col("total") + drawn).cast("long").alias("taken"))
+                         (F.col("_epochs") * F.col("total") + drawn).cast("long").alias("taken"), *carry)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
@@ -111,7 +111,7 @@ def fit_rules(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, trees: int =
     return RuleModel(float(model.intercept), {r: w for r, w in zip(rules, weights, strict=True) if abs(w) > 1e-6})
 
 
-def signature_quality(signatures: DataFrame, labels: DataFrame, threshold: float = 0.3, **fit: int | float) -> DataFrame:
+def signature_quality(signatures: DataFrame, labels: DataFrame, threshold: float = 0.3, carry: Sequence[str] = (), **fit: int | float) -> DataFrame:
     """Score the quality of each text of ``signatures(lineage, genes)`` as ``labels(lineage, label)`` marks it.
 
     The labels given are all learnt from; hold rows back by leaving their labels out. Returns ``lineage, score, predicted``: the
@@ -119,10 +119,11 @@ def signature_quality(signatures: DataFrame, labels: DataFrame, threshold: float
     fit reads a bounded sample of them (``sample_rows``), and the rules are scored as one column expression.
 
     Null text is empty and gets a score like any other. Labels that are null or for unknown lineages are left out; several labels of one
-    lineage count each. Repeated rows get equal scores, null lineages a score but no label. Extra columns are left out.
+    lineage count each. Repeated rows get equal scores, null lineages a score but no label. Extra columns are left out
+    but for those that ``carry`` names.
     """
-    stats = keep(with_statistics(signature_rows(signatures)))
+    stats = keep(with_statistics(signature_rows(signatures, *carry)))
     known = labels.filter(F.col("label").isNotNull()).select("lineage", F.col("label").cast("double").alias("label"))
     model = fit_rules(stats.join(known, "lineage"), **fit)
-    scored = stats.select("lineage", model.score().alias("score"))
-    return scored.select("lineage", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    scored = stats.select("lineage", *carry, model.score().alias("score"))
+    return scored.select("lineage", *carry, "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

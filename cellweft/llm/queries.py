@@ -43,13 +43,13 @@ def learning_labels(labels: DataFrame) -> DataFrame:
     return labels.filter(remainder(5) != 0).select(F.col("doc_id").alias("lineage"), F.col("quality").alias("label"))
 
 
-def as_cells(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def as_cells(docs: DataFrame, labels: DataFrame, *more: str) -> DataFrame:
     """Documents as cells: their words are the total, their source the dataset; labelled quality makes them likelier or less likely."""
     graded = labels.groupBy("doc_id").agg(F.max("quality").alias("quality"))
     weight = F.when(F.col("quality") == 1, 2.0).when(F.col("quality") == 0, 0.5).otherwise(1.0)
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
-    sized = docs.select("doc_id", "source", size.alias("total"))
-    return sized.join(graded, "doc_id", "left").select(F.col("source").alias("dataset_id"), F.col("doc_id").alias("cell_id"), "total", weight.alias("weight"))
+    sized = docs.select("doc_id", "source", size.alias("total"), *more)
+    return sized.join(graded, "doc_id", "left").select(F.col("source").alias("dataset_id"), F.col("doc_id").alias("cell_id"), "total", weight.alias("weight"), *more)
 
 
 def shard_folder(spark: SparkSession) -> str:

@@ -1,7 +1,8 @@
 """A training corpus from raw documents: quality, near duplicates, benchmark passages, mixing, token shards.
 
-Each stage takes ``(spark, docs, sf_dir)`` and works on all that the stage before it kept. Documents are told apart by ``doc_id``: rows
-that repeat an id share one outcome. Stages return the columns they were given; the last returns where each document's tokens are.
+Each stage takes ``(spark, docs, sf_dir)`` and works on all that the stage before it kept. Each stage numbers its rows first, and outcomes hold for
+a row by that number: rows with no id or a repeated one are judged each on its own. Stages return the columns they were given; the last
+returns where each document's tokens are.
 """
 
 from __future__ import annotations
@@ -20,39 +21,54 @@ from cellweft.llm.queries import VOCABULARY, as_cells, as_signatures, learning_l
 from cellweft.llm.training_order import write_training_order
 
 
-def without(docs: DataFrame, outcome: DataFrame, drop: Column) -> DataFrame:
-    """``docs`` less those whose row of ``outcome(lineage, ...)`` is to go; nothing else of the documents changes."""
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number ``_row`` of each row, written so that it stays the same."""
+    return keep(docs.withColumn("_row", F.monotonically_increasing_id()))
+
+
+def by_row(rows: DataFrame) -> DataFrame:
+    """Signature rows named by their number."""
+    return rows.select(F.col("_row").alias("lineage"), F.col("text").alias("genes"))
+
+
+def without(docs: DataFrame, outcome: DataFrame, drop: Column, key: str = "doc_id") -> DataFrame:
+    """``docs`` less those whose name ``key`` is that of a row of ``outcome(lineage, ...)`` that is to go; nothing else of the documents changes."""
     gone = keep(outcome.filter(drop).select(F.col("lineage").alias("_gone")).distinct())
-    return docs.join(gone.hint("merge"), docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+    return docs.join(gone.hint("merge"), docs[key].eqNullSafe(gone["_gone"]), "left_anti")
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule ensemble takes to be of quality 0 go."""
-    scored = signature_quality(as_signatures(docs), learning_labels(table(spark, sf_dir, "labels")))
-    return without(docs, scored, F.col("predicted") == 0)
+    rows = numbered(docs)
+    scored = signature_quality(as_signatures(rows, F.col("_row")), learning_labels(table(spark, sf_dir, "labels")), carry=("_row",))
+    return without(rows, scored.select(F.col("_row").alias("lineage"), "predicted"), F.col("predicted") == 0, "_row").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays."""
-    return without(docs, near_signatures(as_signatures(docs)), ~F.col("kept"))
+    """Of each group of near duplicates one row stays, one with the smallest id; rows without an id are last choice."""
+    rows = numbered(docs)
+    groups = near_signatures(by_row(rows)).select(F.col("lineage").alias("_row"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "_row"))
+    stays = keep(rows.select("_row", "doc_id").join(groups, "_row").groupBy("component_id").agg(first.alias("m")).select(F.col("m._row").alias("_row")))
+    return rows.join(stays.hint("merge"), "_row", "left_semi").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a window of a benchmark item go."""
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("lineage"), F.col("text").alias("genes"))
-    return without(docs, shared_with_projection(as_signatures(docs), items), F.col("contaminated"))
+    rows = numbered(docs)
+    return without(rows, shared_with_projection(by_row(rows), items), F.col("contaminated"), "_row").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; where a source's budget ends within a document, its first words are taken."""
-    cells = as_cells(docs, table(spark, sf_dir, "labels"))
-    mixed = mix_datasets(cells).groupBy(F.col("dataset_id").alias("_source"), F.col("cell_id").alias("_id")).agg(
-        F.max("total").alias("_size"), F.floor(F.avg("taken")).alias("_taken")).filter("_taken > 0")
-    same = docs["doc_id"].eqNullSafe(F.col("_id")) & docs["source"].eqNullSafe(F.col("_source"))
+    rows = numbered(docs)
+    cells = as_cells(rows, table(spark, sf_dir, "labels"), "_row")
+    mixed = mix_datasets(cells, carry=("_row",)).select("_row", F.col("total").alias("_size"), F.col("taken").alias("_taken")).filter("_taken > 0")
     rest = (F.col("_taken") % F.col("_size")).cast("int")
     first_words = F.array_join(F.slice(F.split(F.regexp_replace("text", f"^{SPACE}", ""), SPACE), 1, rest), " ")
     times = F.ceil(F.col("_taken") / F.col("_size")).cast("int")
-    each = docs.join(mixed.hint("merge"), same).withColumn("_time", F.explode(F.sequence(F.lit(1), times)))
+    each = rows.join(mixed.hint("merge"), "_row").withColumn("_time", F.explode(F.sequence(F.lit(1), times)))
     cut = (F.col("_time") == times) & (rest > 0)
     text = F.when(cut, first_words).otherwise(F.col("text"))
     chars = F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))

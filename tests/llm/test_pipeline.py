@@ -79,3 +79,28 @@ def test_rejected_rows_go_and_others_stay(spark):
     docs = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c"), (None, "d")], "doc_id long, text string")
     outcome = spark.createDataFrame([(1, True), (2, False), (None, False)], "lineage long, gone boolean")
     assert {r.text for r in pipeline.without(docs, outcome, F.col("gone")).collect()} == {"b", "c", "d"}
+
+
+def test_rows_without_an_id_and_repeated_ids_are_judged_each(spark, monkeypatch):
+    """Null and repeated ids, rejected rows next to clean ones, and repeated rows, in each stage."""
+    schema = queries.table(spark, SF, "documents").schema
+    frame = lambda rows: spark.createDataFrame([tuple({"doc_id": i, "text": t, "source": "s"}.get(c) for c in schema.names) for i, t in rows], schema)
+    texts = lambda df: sorted((r.doc_id or 0, r.text) for r in df.collect())
+    words = lambda name, n: " ".join(f"{name}{j}" for j in range(n))
+    a, b, c = words("a", 30), words("b", 30), words("c", 30)
+
+    item = queries.table(spark, SF, "benchmark").filter("length(text) > 200").first().text
+    got = pipeline.drop_contaminated(spark, frame([(None, item), (None, a), (7, item), (7, b), (8, c), (8, c)]), SF)
+    assert texts(got) == [(0, a), (7, b), (8, c), (8, c)]
+
+    got = pipeline.drop_near_duplicates(spark, frame([(None, a), (None, b), (5, a), (7, c), (7, c), (4, words("d", 30)), (7, words("d", 30)), (None, ""), (None, "")]), SF)
+    assert texts(got) == sorted([(0, b), (0, ""), (0, ""), (4, words("d", 30)), (5, a), (7, c)])
+
+    def scores(signatures, labels, carry=(), **more):
+        return signatures.select("lineage", *carry, F.lit(0.5).alias("score"), F.when(F.col("genes").startswith("a"), 0).otherwise(1).alias("predicted"))
+    monkeypatch.setattr(pipeline, "signature_quality", scores)
+    assert texts(pipeline.drop_low_quality(spark, frame([(None, a), (None, b), (7, a), (7, c)]), SF)) == [(0, b), (7, c)]
+
+    rows = frame([(None, words("e", 10)), (None, words("f", 90)), (9, words("g", 5)), (9, words("h", 60)), (9, words("h", 60)), (10, words("k", 33))])
+    mixed = queries.mix_datasets(queries.as_cells(rows, queries.table(spark, SF, "labels"))).agg(F.sum("taken")).first()[0]
+    assert sum(len(t.split()) for _, t in texts(pipeline.mix_sources(spark, rows, SF))) == mixed
