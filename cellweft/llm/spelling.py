@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,11 +16,13 @@ from cellweft.llm.common import keep
 SHORTEST, LONGEST = 2, 5
 #: A gram is extended if more than one place in so many starts it; so each length has fewer than ``PLACES`` such grams, whatever the input.
 PLACES = 4096
+#: Numbers in which the lengths of lists are added up. They only say which lists are merged; results don't depend on them.
+SLOTS = 1 << 18
 #: Marks of both ends; no name has them.
 START, END = "\u0001", "\u0002"
 
 
-def grams(name: str, frequent: dict[str, int]) -> list[str]:
+def grams(name: str, frequent: set[str]) -> list[str]:
     """The gram of each place of the marked name: it grows as long as what it holds so far is frequent."""
     s, out = START + name + END, []
     for i in range(len(s) - SHORTEST + 1):
@@ -34,28 +38,38 @@ def affected(places: list[tuple[int, int]]) -> int:
     return max(sum(i <= at < i + size for i, size in places) for at in range(max(i + size for i, size in places)))
 
 
-def cheapest_lists(found: list[str], frequent: dict[str, int], rare: int) -> tuple[int, int]:
-    """Places of the two grams whose lists are shortest among all pairs of which one edit can affect only one.
+def slot(gram: str, place: int, size: int) -> int:
+    """Where the length of the list of this gram, place and size of name is added up."""
+    return crc32(f"{place}:{size}:{gram}".encode()) % SLOTS
 
-    The length of a list is bounded by those of the frequent grams that its gram holds.
-    """
-    cost = [min(frequent.get(g, rare), frequent.get(g[:-1], rare * 26), frequent.get(g[1:], rare)) for g in found]
-    best: tuple[int, int, int] | None = None
-    low, at = 0, -1
+
+def cheapest_lists(found: list[str], size: int, lengths: np.ndarray) -> tuple[int, int]:
+    """Places of the two grams with the shortest lists of all pairs that share no place, so that one edit can affect only one of them."""
+    left = [sum(int(lengths[slot(g, i, size + d)]) for d in (-1, 0, 1)) for i, g in enumerate(found)]
+    right = [sum(int(lengths[slot(g, i + d, size + d)]) for d in (-1, 0, 1)) for i, g in enumerate(found)]
     ends = sorted(range(len(found)), key=lambda i: i + len(found[i]))
-    e = 0
+    best, at, e = (-1, -1), -1, 0
     for j in range(len(found)):
         while e < len(ends) and ends[e] + len(found[ends[e]]) <= j:
-            if at < 0 or cost[ends[e]] < low:
-                low, at = cost[ends[e]], ends[e]
+            at = ends[e] if at < 0 or left[ends[e]] < left[at] else at
             e += 1
-        if at >= 0 and (best is None or low + cost[j] < best[0]):
-            best = (low + cost[j], at, j)
-    assert best is not None and affected([(i, len(found[i])) for i in best[1:]]) < 2
-    return best[1], best[2]
+        if at >= 0 and (best[0] < 0 or left[at] + right[j] < left[best[0]] + right[best[1]]):
+            best = (at, j)
+    return best
+
+
+def _lengths(frequent: set[str]):
+    """The lengths of all lists, added up in ``SLOTS`` numbers by each task."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, dtype=np.int64)
+        for batch in batches:
+            total += np.bincount([slot(g, i, len(s)) for s in batch.column(0).to_pylist() for i, g in enumerate(grams(s, frequent))], minlength=SLOTS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["slot", "n"])
+    return run
 
 
-def _listed(frequent: dict[str, int]):
+def _listed(frequent: set[str]):
     """Rows of the index: every gram of a name with its place and the size of the name."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -72,33 +86,35 @@ def _listed(frequent: dict[str, int]):
     return run
 
 
-def _sought(frequent: dict[str, int], rare: int):
+def _sought(frequent: set[str], lengths: np.ndarray):
     """The lists to merge for a name. If the edit is right of the first gram, that gram keeps its place; if not, the second moves with the size."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            gram, place, size, name = [], [], [], []
+            gram, place, size, name, same = [], [], [], [], []
             for s in batch.column(0).to_pylist():
                 found = grams(s, frequent)
-                left, right = cheapest_lists(found, frequent, rare)
+                left, right = cheapest_lists(found, len(s), lengths)
                 for more in (-1, 0, 1):
                     gram += [found[left], found[right]]
                     place += [left, right + more]
                     size += [len(s) + more] * 2
                     name += [s] * 2
-            yield pa.RecordBatch.from_arrays([pa.array(gram, pa.string()), pa.array(place, pa.int32()), pa.array(size, pa.int32()), pa.array(name, pa.string())],
-                                             names=["gram", "place", "size", "gene"])
+                    same += [s[:max(left + len(found[left]) - 1, 0)], s[right - 1:]]
+            yield pa.RecordBatch.from_arrays([pa.array(gram, pa.string()), pa.array(place, pa.int32()), pa.array(size, pa.int32()), pa.array(name, pa.string()),
+                                              pa.array(same, pa.string()), pa.array([True, False] * (len(same) // 2), pa.bool_())],
+                                             names=["gram", "place", "size", "gene", "same", "begins"])
     return run
 
 
-def frequent_grams(names: DataFrame) -> tuple[dict[str, int], int]:
-    """Grams below the longest size that start at more than one in ``PLACES`` of all places of all names, with their counts, and that limit."""
+def frequent_grams(names: DataFrame) -> set[str]:
+    """Grams below the longest size that start at more than one in ``PLACES`` of all places of all names."""
     marked = F.concat(F.lit(START), "gene", F.lit(END))
     total = names.agg(F.sum(F.length("gene") + 1)).first()[0] or 0
     limit = total // PLACES + 1
     starts = F.sequence(F.lit(1), F.length("gene") + 1)
     pieces = [F.transform(starts, lambda i, k=k: F.substring(marked, i, F.lit(k))) for k in range(SHORTEST, LONGEST)]
     counted = names.select(F.explode(F.concat(*pieces)).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit)
-    return {r.gram: r.n for r in counted.collect()}, limit
+    return {r.gram for r in counted.collect()}
 
 
 def gene_spelling_variants(genes: DataFrame, min_length: int = LONGEST, min_count: int = 3, times: float = 2.0) -> DataFrame:
@@ -111,7 +127,7 @@ def gene_spelling_variants(genes: DataFrame, min_length: int = LONGEST, min_coun
     A gram dictionary is counted over all names and pruned by frequency: a gram grows while what it holds is frequent, so frequent beginnings lead
     to longer grams. One edit changes only the grams that cover it. The bound of affected grams says how many lists of a name must be merged: of
     two grams that share no place one always stays, at its place or moved by the change of size, so two lists are merged, the shortest such
-    pair. Lists are keyed by gram, place and size of the name; what they hold is verified inside the join, so only links become rows. The
+    pair. Lengths of lists are known from 262 144 sums over hashes of lists, which may count a few together. Lists are keyed by gram, place and size of the name; what they hold is verified inside the join, so only links become rows. The
     dictionary that reaches the tasks has fewer than 4 096 grams of each size; hot lists are split by Spark's skew join. Roots double the distance
     followed each round, and counts at least double with each form, so there are few rounds.
 
@@ -124,12 +140,17 @@ def gene_spelling_variants(genes: DataFrame, min_length: int = LONGEST, min_coun
         raise ValueError("a form must be more frequent than its variant")
     names = keep(genes.select("gene", F.col("n").cast("long").alias("n")).filter(F.char_length("gene") >= min_length)
                  .groupBy("gene").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_count))
-    frequent, rare = frequent_grams(names)
+    frequent = frequent_grams(names)
+    summed = names.select("gene").mapInArrow(_lengths(frequent), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    lengths = np.zeros(SLOTS, dtype=np.int64)
+    lengths[summed.column("slot").to_numpy()] = summed.column("n").to_numpy()
     listed = names.mapInArrow(_listed(frequent), "gram string, place int, size int, near string, near_n long")
-    sought = names.select("gene").mapInArrow(_sought(frequent, rare), "gram string, place int, size int, gene string")
+    sought = names.select("gene").mapInArrow(_sought(frequent, lengths), "gram string, place int, size int, gene string, same string, begins boolean")
     a, b = sought.alias("a"), listed.hint("merge").alias("b")
     same_list = (F.col("a.gram") == F.col("b.gram")) & (F.col("a.place") == F.col("b.place")) & (F.col("a.size") == F.col("b.size"))
-    links = a.join(b, same_list & (F.levenshtein("gene", "near", 1) == 1)).select("gene", "near", "near_n").distinct()
+    # what lies before the first gram, or after the second, is the same too; that is quickly seen
+    holds = F.when(F.col("begins"), F.startswith("near", "same")).otherwise(F.endswith("near", "same"))
+    links = a.join(b, same_list & F.when(holds, F.levenshtein("gene", "near", 1) == 1).otherwise(F.lit(False))).select("gene", "near", "near_n").distinct()
     best = F.min(F.struct((-F.col("near_n")).alias("n"), F.col("near").alias("gene"))).alias("best")
     found = links.groupBy(F.col("gene").alias("_gene")).agg(F.count(F.lit(1)).alias("n_near"), best)
     heavier = -F.col("best.n") >= times * F.col("n")
