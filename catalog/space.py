@@ -78,8 +78,9 @@ def cosine_per_edge(spark, sf):
     "dots": """SELECT n.sample_id, src, dst, sum(a.lognorm*b.lognorm) AS dot FROM near n JOIN ln a ON a.sample_id = n.sample_id AND a.cell_id = src
         JOIN ln b ON b.sample_id = n.sample_id AND b.cell_id = dst AND a.gene = b.gene GROUP BY 1, 2, 3"""}))
 def cosine_per_edge_sparse(spark, sf):
-    near = spatial.knn_join(V.points(spark, sf), 10).drop("rank")
-    return rounded(graph.edge_cosine(near, qc.normalize_log1p(V.expression(spark, sf))).select(*KEYS, "sim"), "sim")
+    c = V.points(spark, sf)
+    near = spatial.knn_join(c, 10).drop("rank")
+    return rounded(graph.edge_cosine(c, near, qc.normalize_log1p(V.expression(spark, sf))).select(*KEYS, "sim"), "sim")
 
 
 @query(V.oracle("SELECT sample_id, cell_id, round(sqrt(sum(value*value)), 6) AS norm FROM expression GROUP BY 1, 2", "expression"))
@@ -108,6 +109,23 @@ def spatial_graph(spark, sf):
     return rounded(graph.spatial_graph(c, vectors=c), "weight")
 
 
+SPARSE_GRAPH = {
+    "ln": Q.LOGNORM, "near": Q.knn(10), "norms": "SELECT sample_id, cell_id, sqrt(sum(lognorm*lognorm)) AS n FROM ln GROUP BY 1, 2",
+    "dots": """SELECT n.sample_id, src, dst, sum(a.lognorm*b.lognorm) AS dot FROM near n JOIN ln a ON a.sample_id = n.sample_id AND a.cell_id = src
+        JOIN ln b ON b.sample_id = n.sample_id AND b.cell_id = dst AND a.gene = b.gene GROUP BY 1, 2, 3""",
+    "sim": """SELECT n.*, coalesce(dot, 0)/(coalesce(nullif(a.n, 0), 1e-9)*coalesce(nullif(b.n, 0), 1e-9)) AS sim
+        FROM near n LEFT JOIN dots USING (sample_id, src, dst) LEFT JOIN norms a ON a.sample_id = n.sample_id AND a.cell_id = n.src
+        LEFT JOIN norms b ON b.sample_id = n.sample_id AND b.cell_id = n.dst""",
+    **{k: GRAPH[k].replace("dense_cells", "cells") for k in ("z", "kept", "bw", "wt", "und", "adj", "deg", "graph")}}
+
+
+@query(V.oracle("SELECT sample_id, src, dst, round(weight, 5) AS weight FROM graph", "expression", steps=SPARSE_GRAPH))
+def spatial_graph_sparse(spark, sf):
+    """The graph of a cohort run: neighbours weighted by the cosine of sparse expression."""
+    c = V.points(spark, sf)
+    return rounded(graph.spatial_graph(c, qc.normalize_log1p(V.expression(spark, sf))), "weight", digits=5)
+
+
 UNIT = {"near": Q.knn(6), "und": "SELECT sample_id, least(src, dst) AS src, greatest(src, dst) AS dst, min(1/(1+dist)) AS weight FROM near GROUP BY 1, 2, 3",
         "adj": GRAPH["adj"].replace("dense_cells", "cells"), "deg": GRAPH["deg"], "graph": GRAPH["graph"]}
 

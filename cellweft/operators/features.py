@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellweft.functions.scalar import EPS
-from cellweft.operators import qc, spatial
+from cellweft.operators import blocks, qc, spatial
 
 SAMPLE, CELL, GENE = "sample_id", "cell_id", "gene"
 
@@ -38,19 +38,11 @@ def highly_variable_genes(cells: DataFrame, expression: DataFrame, bins: int = 2
 
 
 def morans_i(cells: DataFrame, expression: DataFrame, edges: DataFrame, value: str = "lognorm") -> DataFrame:
-    """Moran's I per sample and gene over undirected ``edges``, expanded so zeros need no rows."""
-    v = F.col(value)
+    """Moran's I per sample and gene over undirected ``edges``, expanded so zeros need no rows; sums over edges come block by block."""
     moments = gene_moments(cells, expression, value)
-    x = expression.select(SAMPLE, CELL, GENE, v.alias("x"))
-    a = x.select(SAMPLE, F.col(CELL).alias("src"), GENE, F.col("x").alias("xa"))
-    b = x.select(SAMPLE, F.col(CELL).alias("dst"), GENE, F.col("x").alias("xb"))
-    cross = (edges.select(SAMPLE, "src", "dst").join(a, [SAMPLE, "src"]).join(b, [SAMPLE, "dst", GENE])
-                  .groupBy(SAMPLE, GENE).agg(F.sum(F.col("xa") * F.col("xb")).alias("sum_uv")))
-    degree = (edges.select(SAMPLE, F.explode(F.array("src", "dst")).alias(CELL))
-                   .groupBy(SAMPLE, CELL).agg(F.count(F.lit(1)).alias("deg")))
-    weighted = (x.join(degree, [SAMPLE, CELL]).groupBy(SAMPLE, GENE).agg(F.sum(F.col("x") * F.col("deg")).alias("sum_deg")))
+    sums = blocks.edge_gene_sums(cells, edges, expression, value)
     n_edges = edges.groupBy(SAMPLE).agg(F.count(F.lit(1)).alias("n_edges"))
-    t = (moments.join(cross, [SAMPLE, GENE], "left").join(weighted, [SAMPLE, GENE], "left").join(n_edges, SAMPLE, "left")
+    t = (moments.join(sums, [SAMPLE, GENE], "left").join(n_edges, SAMPLE, "left")
                 .na.fill(0.0, ["sum_uv", "sum_deg"]).na.fill(0, ["n_edges"]))
     mean, n, e = F.col("mean"), F.col("n_cells"), F.col("n_edges")
     denom = F.col("sum_x2") - 2 * mean * F.col("sum_x") + n * mean * mean + EPS

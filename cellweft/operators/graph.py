@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellweft.functions.scalar import EPS, clamp, gaussian_decay, softplus
-from cellweft.operators import spatial
+from cellweft.operators import blocks, spatial
 from cellweft.operators.ordering import exact_quantiles
 from cellweft.session import settle
 
@@ -31,22 +31,9 @@ def cell_norms(expression: DataFrame, value: str = "lognorm") -> DataFrame:
     return expression.groupBy(SAMPLE, CELL).agg(F.sqrt(F.sum(v * v)).alias("norm"))
 
 
-def edge_cosine(edges: DataFrame, expression: DataFrame, value: str = "lognorm") -> DataFrame:
-    """Cosine of the endpoints' expression on every edge; cells without rows have norm 1e-9."""
-    x = expression.select(SAMPLE, CELL, GENE, F.col(value).alias("x"))
-    dots = (edges.select(SAMPLE, "src", "dst").join(endpoint(x, "src", gene=GENE, x="xs"), [SAMPLE, "src"])
-                 .join(endpoint(x, "dst", gene=GENE, x="xd"), [SAMPLE, "dst", GENE])
-                 .groupBy(SAMPLE, "src", "dst").agg(F.sum(F.col("xs") * F.col("xd")).alias("dot")))
-    norms = cell_norms(expression, value)
-
-    def safe(c: str) -> Column:
-        return F.when(F.coalesce(c, F.lit(0.0)) == 0, F.lit(EPS)).otherwise(F.col(c))
-
-    return (edges.join(dots, [SAMPLE, "src", "dst"], "left")
-                 .join(endpoint(norms, "src", norm="ns"), [SAMPLE, "src"], "left")
-                 .join(endpoint(norms, "dst", norm="nd"), [SAMPLE, "dst"], "left")
-                 .withColumn("sim", F.coalesce("dot", F.lit(0.0)) / (safe("ns") * safe("nd")))
-                 .drop("dot", "ns", "nd"))
+def edge_cosine(cells: DataFrame, edges: DataFrame, expression: DataFrame, value: str = "lognorm") -> DataFrame:
+    """Cosine of the endpoints' expression on every edge, block by block; cells without rows have norm 1e-9."""
+    return blocks.edge_cosines(cells, edges, expression, value, EPS)
 
 
 def edge_cosine_packed(edges: DataFrame, vectors: DataFrame, column: str = "vec") -> DataFrame:
@@ -94,7 +81,7 @@ def spatial_graph(cells: DataFrame, expression: DataFrame | None = None, vectors
                   k: int = 11, value: str = "lognorm") -> DataFrame:
     """Neighbour graph weighted by distance and expression similarity, symmetrically normalised."""
     near = spatial.knn_join(cells, k - 1).drop("rank")
-    scored = edge_cosine_packed(near, vectors) if vectors is not None else edge_cosine(near, expression, value)
+    scored = edge_cosine_packed(near, vectors) if vectors is not None else edge_cosine(cells, near, expression, value)
     kept = settle(zscore_prune(scored))
     return symmetric_normalize(cells, spatial.undirected_distinct(decay_weights(kept), "weight"))
 
