@@ -7,17 +7,17 @@ cells are handled exactly, without a limit on what may be found.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellweft.operators import nearest
 from cellweft.session import settle
 
 SAMPLE, CELL = "sample_id", "cell_id"
-# Rows of a 3x3 neighbourhood that are packed into one array; beyond it the tree search takes over.
-RING_ROWS = 2_000
-# A tree square with at most this many points is searched point by point.
-LEAF_POINTS = 64
-MAX_TREE_LEVEL = 26
+# Distinct coordinates of a tile of the nearest-neighbour search, and tiles of all samples at most: beyond that, tiles hold more.
+TILE_SITES, TILES = 16_000, 65_536
 # Rows of one square handled by one salted part of the radius join.
 SQUARE_ROWS = 4_000
 
@@ -50,127 +50,121 @@ def _members(cells: DataFrame, k: int) -> DataFrame:
     return cells.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k + 1).drop("_r")
 
 
-def _ring_search(sites: DataFrame, reps: DataFrame, boxes: DataFrame, k: int) -> DataFrame:
-    """Nearest k+1 members from the 3x3 squares around each site, with a flag when they are final."""
-    w = F.sqrt(F.greatest((F.col("xmax") - F.col("xmin")) * (F.col("ymax") - F.col("ymin")), F.lit(0.0))
-               * F.lit(0.6 * (k + 1)) / F.col("n_cells"))
-    side = F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"))
-    boxes = boxes.select(SAMPLE, "xmin", "ymin",
-                         F.greatest(w, side * F.lit(0.6 * (k + 1)) / F.col("n_cells"), F.lit(1e-9)).alias("w"))
+def curve_place(x: Column, y: Column) -> Column:
+    """Place of a point of the unit square on a Z-shaped curve: near places are near points. 26 bits of each coordinate are interleaved."""
+    def spread(c: Column) -> Column:
+        c = F.floor(F.least(c, F.lit(1 - 2.0 ** -27)) * F.lit(2.0 ** 26)).cast("long")
+        for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+            c = c.bitwiseOR(F.shiftleft(c, shift)).bitwiseAND(F.lit(mask))
+        return c
+    return spread(x).bitwiseOR(F.shiftleft(spread(y), 1))
 
-    def on_grid(df: DataFrame) -> DataFrame:
-        return (df.join(boxes, SAMPLE)
-                  .withColumn("bx", F.floor((F.col("x") - F.col("xmin")) / F.col("w")))
-                  .withColumn("by", F.floor((F.col("y") - F.col("ymin")) / F.col("w"))))
 
-    square = [SAMPLE, "bx", "by"]
-    around = F.explode(F.array(*[F.struct((F.col("bx") + dx).alias("bx"), (F.col("by") + dy).alias("by"))
-                                 for dx in (-1, 0, 1) for dy in (-1, 0, 1)])).alias("sq")
-    held = on_grid(reps).groupBy(*square).agg(F.count(F.lit(1)).alias("rows"))
-    ring_rows = (held.select(SAMPLE, around, "rows").select(SAMPLE, "sq.*", "rows")
-                     .groupBy(*square).agg(F.sum("rows").alias("ring_rows")))
-    light = ring_rows.filter(F.col("ring_rows") <= RING_ROWS)
-    packed = (on_grid(reps).select(SAMPLE, around, F.struct("x", "y", CELL).alias("p"))
-                           .select(SAMPLE, "sq.*", "p").join(light, square)
-                           .groupBy(*square).agg(F.collect_list("p").alias("ring")))
-    d2 = lambda p: _sq(p["x"] - F.col("x")) + _sq(p["y"] - F.col("y"))
-    near = F.slice(F.sort_array(F.transform("ring", lambda p: F.struct(d2(p).alias("d2"), p[CELL].alias("dst")))),
-                   1, k + 1)
-    gx, gy = F.col("x") - F.col("xmin"), F.col("y") - F.col("ymin")
-    border = F.least(gx - (F.col("bx") - 1) * F.col("w"), (F.col("bx") + 2) * F.col("w") - gx,
-                     gy - (F.col("by") - 1) * F.col("w"), (F.col("by") + 2) * F.col("w") - gy) * (1 - 1e-9)
-    found = on_grid(sites).join(packed, square, "left").withColumn("near", near)
-    done = (F.size("near") > k) & (F.get("near", F.lit(k))["d2"] < _sq(border))
-    return found.select(SAMPLE, "site", "x", "y", "members", "near", F.coalesce(done, F.lit(False)).alias("final"))
-
-
-def _tree_search(left: DataFrame, reps: DataFrame, boxes: DataFrame, k: int) -> DataFrame:
-    """Branch and bound, breadth first: every round splits the surviving squares into 4x4.
-
-    For each site the squares are bounded by nearest and farthest distance to the box of
-    their points; squares that start beyond the distance within which k+1 points are sure to
-    lie are dropped. Squares with few points wait; the loop ends when only those are left.
+_NEAR = f"{SAMPLE} string, site long, x double, y double, d2 array<double>, sites array<long>, visits array<int>"
+
+
+def _numbers(t: pa.Table, *names: str) -> list[np.ndarray]:
+    return [t.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in names]
+
+
+def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays) if arrays else np.zeros(0), kind))
+
+
+def _search_tile(n: int, boxes: dict[str, np.ndarray]):
+    """Nearest sites inside a tile, and which other tiles of the sample each site's circle touches (``tile, x0, x1, y0, y1`` in ``boxes``)."""
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        x, y, site = _numbers(t, "x", "y", "site")
+        far, names = nearest.within(x, y, site, n)
+        limit = np.array([d[-1] if len(d) >= n else np.inf for d in far])
+        visits = [np.zeros(0, dtype=np.int32)] * len(x)
+        others = boxes.get(key[0].as_py())
+        if others is not None:
+            others = others[others[:, 0] != key[1].as_py()]
+            for i in range(0, len(x), 4096):
+                xs, ys = x[i:i + 4096, None], y[i:i + 4096, None]
+                dx = np.maximum(np.maximum(others[None, :, 1] - xs, xs - others[None, :, 2]), 0)
+                dy = np.maximum(np.maximum(others[None, :, 3] - ys, ys - others[None, :, 4]), 0)
+                row, at = np.nonzero(dx * dx + dy * dy <= limit[i:i + 4096, None] * (1 + 1e-12))
+                for r in np.unique(row).tolist():
+                    visits[i + r] = others[at[row == r], 0].astype(np.int32)
+        return pa.table({SAMPLE: t.column(SAMPLE), "site": t.column("site"), "x": t.column("x"), "y": t.column("y"),
+                         "d2": _lists(far, pa.float64()), "sites": _lists(names, pa.int64()), "visits": _lists(visits, pa.int32())})
+    return run
+
+
+def _search_visits(n: int):
+    def run(key: tuple, visitors: pa.Table, t: pa.Table) -> pa.Table:
+        who, vx, vy, limit = _numbers(visitors, "site", "x", "y", "limit")
+        found = list(nearest.visit(vx, vy, limit, *_numbers(t, "x", "y", "site"), n)) if t.num_rows and visitors.num_rows else []
+        return pa.table({SAMPLE: pa.array([key[0].as_py()] * len(found), pa.string()), "site": pa.array([who[v] for v, _, _ in found], pa.int64()),
+                         "d2": _lists([d for _, d, _ in found], pa.float64()), "sites": _lists([s for _, _, s in found], pa.int64())})
+    return run
+
+
+def _nearest_sites(sites: DataFrame, n: int) -> DataFrame:
+    """The ``n`` nearest sites of each, itself included: ``(sample_id, site, near)`` with ``near`` an array of ``(d2, site)``, in three passes.
+
+    Sites are cut along a curve into tiles of about ``TILE_SITES``, and never more than ``TILES``: where sites are dense, tiles are small. Every
+    tile is searched on its own, which bounds how far each site has to look. Sites whose circle touches the box of another tile visit that
+    tile; what they find there is merged. Boxes of tiles, of samples that have several, are the only thing the driver holds.
     """
-    side = F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"))
-    boxes = boxes.select(SAMPLE, "xmin", "ymin", F.when(side > 0, side * (1 + 1e-9)).otherwise(F.lit(1.0)).alias("side"))
-    placed = (reps.join(left.select(SAMPLE).distinct(), SAMPLE, "left_semi").join(boxes, SAMPLE)
-                  .withColumn("_u", (F.col("x") - F.col("xmin")) / F.col("side"))
-                  .withColumn("_v", (F.col("y") - F.col("ymin")) / F.col("side"))
-                  .select(SAMPLE, CELL, "x", "y", "_u", "_v"))
-
-    def at_level(level: int) -> DataFrame:
-        scale = F.lit(float(4 ** level))
-        return placed.withColumn("bx", F.floor(F.col("_u") * scale)).withColumn("by", F.floor(F.col("_v") * scale))
-
-    def past(a: Column, lo: Column, hi: Column) -> Column:
-        return F.greatest(lo - a, a - hi, F.lit(0.0))
-
-    def reach(a: Column, lo: Column, hi: Column) -> Column:
-        return F.greatest(F.abs(a - lo), F.abs(a - hi))
-
-    open_ = left.select(SAMPLE, "site", "x", "y", F.lit(0).cast("long").alias("bx"), F.lit(0).cast("long").alias("by"))
-    waiting = None
-    for level in range(1, MAX_TREE_LEVEL + 1):
-        kids = (at_level(level).groupBy(SAMPLE, "bx", "by")
-                .agg(F.count(F.lit(1)).alias("points"), F.min("x").alias("x0"), F.max("x").alias("x1"),
-                     F.min("y").alias("y0"), F.max("y").alias("y1"))
-                .withColumn("px", F.shiftright("bx", 2)).withColumn("py", F.shiftright("by", 2)))
-        grown = (open_.withColumnRenamed("bx", "px").withColumnRenamed("by", "py").join(kids, [SAMPLE, "px", "py"])
-                      .withColumn("near2", _sq(past(F.col("x"), F.col("x0"), F.col("x1")))
-                                  + _sq(past(F.col("y"), F.col("y0"), F.col("y1"))))
-                      .withColumn("far2", _sq(reach(F.col("x"), F.col("x0"), F.col("x1")))
-                                  + _sq(reach(F.col("y"), F.col("y0"), F.col("y1"))))
-                      .select(SAMPLE, "site", "x", "y", "bx", "by", F.lit(level).alias("level"),
-                              "points", "near2", "far2"))
-        pool = grown if waiting is None else grown.unionByName(waiting)
-        per_site = Window.partitionBy(SAMPLE, "site")
-        running = per_site.orderBy("far2").rangeBetween(Window.unboundedPreceding, 0)
-        pool = (pool.withColumn("_have", F.sum("points").over(running))
-                    .withColumn("_bound", F.min(F.when(F.col("_have") > k, F.col("far2"))).over(per_site))
-                    .filter(F.col("_bound").isNull() | (F.col("near2") <= F.col("_bound") * (1 + 1e-9)))
-                    .drop("_have", "_bound"))
-        # one coordinate may hold k+1 points, and the last level is searched whatever it holds
-        split = (F.col("points") > max(LEAF_POINTS, k + 1)) & (F.col("level") == level) & F.lit(level < MAX_TREE_LEVEL)
-        pool = settle(pool.withColumn("open", split))
-        waiting = pool.filter(~F.col("open")).drop("open")
-        open_ = pool.filter("open").select(SAMPLE, "site", "x", "y", "bx", "by")
-        if open_.isEmpty():
-            break
-    levels = [r.level for r in waiting.select("level").distinct().collect()]  # at most 26 numbers
-    targets = None
-    for level in levels:
-        here = at_level(level).select(SAMPLE, F.lit(level).alias("level"), "bx", "by", F.col(CELL).alias("dst"),
-                                      F.col("x").alias("tx"), F.col("y").alias("ty"))
-        targets = here if targets is None else targets.unionByName(here)
-    found = (waiting.join(targets, [SAMPLE, "level", "bx", "by"])
-                    .withColumn("d2", _sq(F.col("tx") - F.col("x")) + _sq(F.col("ty") - F.col("y"))))
-    w = Window.partitionBy(SAMPLE, "site").orderBy("d2", "dst")
-    best = found.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k + 1)
-    return best.groupBy(SAMPLE, "site").agg(F.sort_array(F.collect_list(F.struct("d2", "dst"))).alias("near"))
+    side = F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"), F.lit(1e-300))
+    box = extents(sites).select(SAMPLE, "xmin", "ymin", side.alias("_side"))
+    tiles = min(max(-(-sites.count() // TILE_SITES), 1), TILES)
+    place = curve_place((F.col("x") - F.col("xmin")) / F.col("_side"), (F.col("y") - F.col("ymin")) / F.col("_side"))
+    placed = (sites.select(SAMPLE, "site", "x", "y").join(box, SAMPLE).withColumn("_place", place).repartitionByRange(tiles, SAMPLE, "_place")
+              .select(SAMPLE, "site", "x", "y", F.spark_partition_id().alias("tile")))
+    placed = settle(placed)
+    edges = placed.groupBy(SAMPLE, "tile").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+    several = Window.partitionBy(SAMPLE)
+    listed = edges.withColumn("_n", F.count(F.lit(1)).over(several)).filter("_n > 1").groupBy(SAMPLE).agg(
+        F.collect_list(F.array(F.col("tile").cast("double"), "x0", "x1", "y0", "y1")).alias("boxes")).collect()  # two boxes a tile at most
+    boxes = {r[SAMPLE]: np.array(r.boxes) for r in listed}
+    first = settle(placed.groupBy(SAMPLE, "tile").applyInArrow(_search_tile(n, boxes), _NEAR))
+    pairs = F.arrays_zip(F.col("d2"), F.col("sites").alias("site"))
+    done = first.filter(F.size("visits") == 0).select(SAMPLE, "site", pairs.alias("near"))
+    if not boxes:
+        return done
+    limit = F.when(F.size("d2") >= n, F.element_at("d2", -1)).otherwise(F.lit(float("inf")))
+    asking = first.filter(F.size("visits") > 0)
+    visits = settle(asking.select(SAMPLE, "site", "x", "y", limit.alias("limit"), F.explode("visits").alias("tile")))
+    load = visits.groupBy(F.col(SAMPLE).alias("_s"), F.col("tile").alias("_t")).agg(F.ceil(F.count(F.lit(1)) / F.lit(float(TILE_SITES))).cast("int").alias("parts"))
+    dealt = (visits.join(load, (visits[SAMPLE] == load["_s"]) & (visits["tile"] == load["_t"])).withColumn("part", F.pmod(F.xxhash64("site"), F.col("parts")).cast("int"))
+             .select(SAMPLE, "tile", "part", "site", "x", "y", "limit"))
+    held = (placed.join(load, (placed[SAMPLE] == load["_s"]) & (placed["tile"] == load["_t"])).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+            .select(*[F.col(c).alias(c) for c in (SAMPLE, "tile", "part", "site", "x", "y")]))
+    key = [SAMPLE, "tile", "part"]
+    met = dealt.groupBy(*key).cogroup(held.groupBy(*key)).applyInArrow(_search_visits(n), f"{SAMPLE} string, site long, d2 array<double>, sites array<long>")
+    found = asking.select(SAMPLE, "site", "d2", "sites").unionByName(met).select(SAMPLE, "site", pairs.alias("near"))
+    merged = found.groupBy(SAMPLE, "site").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, n).alias("near"))
+    return done.unionByName(merged)
 
 
 def knn_join(cells: DataFrame, k: int) -> DataFrame:
     """Exact k nearest other cells of each cell: ``(sample_id, src, dst, rank, dist)``.
 
-    Ties in distance go to the lowest id. Samples with fewer than k+1 cells return what exists.
+    Ties in distance go to the lowest id. Samples with fewer than k+1 cells return what exists. Cells without finite coordinates have no neighbours. Cells
+    at one coordinate are one site; of each site the k+1 lowest ids stand for all. The number of passes doesn't depend on the cells.
     """
-    cells = cells.select(SAMPLE, CELL, "x", "y")
-    reps = settle(_members(cells, k))
-    boxes = extents(reps)
-    sites = reps.groupBy(SAMPLE, "x", "y").agg(F.min(CELL).alias("site"), F.count(F.lit(1)).alias("members"))
-    ring = settle(_ring_search(sites, reps, boxes, k))
-    left = ring.filter(~F.col("final")).select(SAMPLE, "site", "x", "y", "members")
-    lists = ring.filter("final").select(SAMPLE, "site", "x", "y", "members", "near")
-    if not left.isEmpty():
-        lists = lists.unionByName(left.join(_tree_search(left, reps, boxes, k), [SAMPLE, "site"])
-                                      .select(SAMPLE, "site", "x", "y", "members", "near"))
-    lone = lists.filter(F.col("members") == 1).select(SAMPLE, F.col("site").alias("src"), "near")
-    shared = (lists.filter(F.col("members") > 1).drop("site", "members")
-                   .join(cells.withColumnRenamed(CELL, "src"), [SAMPLE, "x", "y"]).select(SAMPLE, "src", "near"))
+    placed = (F.abs("x") < float("inf")) & (F.abs("y") < float("inf"))  # neither null nor NaN
+    cells = cells.select(SAMPLE, CELL, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).filter(placed)
+    sites = settle(_members(cells, k).groupBy(SAMPLE, "x", "y").agg(F.min(CELL).alias("site"), F.sort_array(F.collect_list(CELL)).alias("ids")))
+    near = _nearest_sites(sites, k + 1)
+    single = sites.filter(F.size("ids") > 1).isEmpty()
+    if single:
+        lists = near.select(SAMPLE, F.col("site").alias("src"), F.transform("near", lambda p: F.struct(p["d2"].alias("d2"), p["site"].alias("dst"))).alias("near"))
+    else:
+        pairs = near.select(SAMPLE, "site", F.explode("near").alias("p")).select(SAMPLE, "site", "p.d2", F.col("p.site").alias("dst"))
+        ids = sites.select(F.col(SAMPLE).alias("_s"), F.col("site").alias("_site"), "ids")
+        full = (pairs.join(ids, (F.col(SAMPLE) == F.col("_s")) & (F.col("dst") == F.col("_site"))).select(SAMPLE, "site", "d2", F.explode("ids").alias("dst"))
+                .groupBy(SAMPLE, "site").agg(F.slice(F.sort_array(F.collect_list(F.struct("d2", "dst"))), 1, k + 1).alias("near")))
+        spots = sites.select(SAMPLE, "site", "x", "y")
+        lists = (full.join(spots, [SAMPLE, "site"]).drop("site").join(cells.withColumnRenamed(CELL, "src"), [SAMPLE, "x", "y"]).select(SAMPLE, "src", "near"))
     others = F.slice(F.filter("near", lambda p: p["dst"] != F.col("src")), 1, k)
-    return settle(lone.unionByName(shared).select(SAMPLE, "src", F.posexplode(others).alias("_i", "_p"))
-                  .select(SAMPLE, "src", F.col("_p.dst").alias("dst"), (F.col("_i") + 1).alias("rank"),
-                          F.sqrt("_p.d2").alias("dist")))
+    return settle(lists.select(SAMPLE, "src", F.posexplode(others).alias("_i", "_p"))
+                  .select(SAMPLE, "src", F.col("_p.dst").alias("dst"), (F.col("_i") + 1).alias("rank"), F.sqrt("_p.d2").alias("dist")))
 
 
 def radius_join(cells: DataFrame, radius: DataFrame | float) -> DataFrame:
