@@ -358,6 +358,15 @@ def seeded_programs(spark, sf):
     return weights.groupBy("sample_id", "program_id").agg(F.sum("weight").alias("mass"))
 
 
+@query()
+def fit_history(spark, sf):
+    """Losses of training and held-out cells by round, the round chosen and why rounds ended."""
+    e = settle(qc.normalize_log1p(V.expression(spark, sf)))
+    prior = _nouns(spark, sf)[1].select(F.col("cluster").alias("program_id"), "gene")
+    split = settle(qc.train_val_split(V.points(spark, sf)))
+    return rounded(priors.validated_programs(e, split, settle(factor.vocabulary(e)), settle(prior), 30).history, "train_loss", "val_loss", "sharpness", digits=5)
+
+
 # quality
 
 LOSS = {"recon": RECON,
@@ -480,10 +489,10 @@ def running_best(spark, sf):
     return rounded(t.select("run_id", "step", "best", "ceiling", "overshoot"), "ceiling", digits=5)
 
 
-@query(V.oracle("""SELECT run_id, round(sum(value * pow(0.9, mx - step) * CASE WHEN step = 0 THEN 1 ELSE 0.1 END), 6) AS ema FROM metrics
-    JOIN (SELECT run_id, max(step) AS mx FROM metrics GROUP BY 1) USING (run_id) GROUP BY 1""", "metrics"))
+@query(V.oracle("""SELECT run_id, round(list_reduce(list(value ORDER BY step), lambda a, x: 0.9 * a + 0.1 * x), 6) AS ema FROM metrics
+    WHERE step % 3 <> 1 GROUP BY 1""", "metrics"))
 def ema(spark, sf):
-    return rounded(trend.ema(V.metrics(spark, sf), 0.1), "ema")
+    return rounded(trend.ema(V.metrics(spark, sf).filter("step % 3 <> 1"), 0.1), "ema")
 
 
 @query(V.oracle("""SELECT run_id, arg_min(step, (score, step)) AS best_step, round(min(score), 6) AS best_score FROM

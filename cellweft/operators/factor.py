@@ -125,6 +125,42 @@ def factorize(packed: DataFrame, n_genes: int, start: np.ndarray, rounds: int, s
     return best, losses
 
 
+def split_sums(packed: DataFrame, n_genes: int, h: np.ndarray, steps: int = 30) -> tuple[np.ndarray, np.ndarray, float, float, float]:
+    """One read of ``packed(g, v, is_train)``: sums of the training cells, the errors per value of training and held-out cells, and how much
+    of a training cell its largest program holds, per cent.
+
+    Held-out cells get weights for the dictionary as it is and are only measured: nothing of them enters the sums.
+    """
+    k = h.shape[0]
+    wide = n_genes + k + 6
+
+    def run(batches):
+        total = np.zeros((k, wide))
+        for pdf in batches:
+            for train in (True, False):
+                part = pdf[pdf["is_train"] == train]
+                for _, x in _blocks(part, n_genes):
+                    w = _weights(x, h, steps)
+                    wx, ww = w.T @ x, w.T @ w
+                    at = -4 if train else -2
+                    total[0, at] += (x * x).sum() - 2.0 * (wx * h).sum() + (ww * (h @ h.T)).sum()
+                    total[0, at + 1] += x.size
+                    if train:
+                        total[0, -6] += (w.max(1) / (w.sum(1) + 1e-12)).sum()
+                        total[0, -5] += len(w)
+                        total[:, :n_genes] += wx
+                        total[:, n_genes:n_genes + k] += ww
+        yield pd.DataFrame({"r": np.arange(k, dtype=np.int32), "vals": list(total)})
+
+    rows = packed.select("g", "v", "is_train").mapInPandas(run, "r int, vals array<double>")
+    summed = rows.select("r", F.posexplode("vals").alias("c", "s")).groupBy("r", "c").agg(F.sum("s").alias("s")).toPandas()
+    out = np.zeros((k, wide))
+    out[summed["r"], summed["c"]] = summed["s"]
+    errors = [max(out[0, at], 0.0) / out[0, at + 1] if out[0, at + 1] else float("nan") for at in (-4, -2)]
+    sharp = 100.0 * out[0, -6] / out[0, -5] if out[0, -5] else float("nan")
+    return out[:, :n_genes], out[:, n_genes:n_genes + k], errors[0], errors[1], sharp
+
+
 def cell_weights(packed: DataFrame, dictionary: np.ndarray, steps: int = 30) -> DataFrame:
     """Weights of every cell for a dictionary: ``(sample_id, cell_id, program_id, weight)``."""
     def run(batches):

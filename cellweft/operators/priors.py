@@ -6,12 +6,13 @@ Set tables are long: ``signatures(lineage, gene)``, ``sets(set_id, gene)``.
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellweft.operators import factor, features, graph, qc
+from cellweft.operators import factor, features, graph, qc, trend
 from cellweft.operators.ordering import hash_rank, top_per_group
 from cellweft.operators.programs import top_genes
 from cellweft.session import settle
@@ -156,9 +157,8 @@ def program_dictionary(weights: DataFrame, genes: DataFrame, components: int = 1
     return factor.factorize(packed, n, start, rounds)
 
 
-def seeded_programs(expression: DataFrame, genes: DataFrame, prior: DataFrame, rounds: int, extra: int = 0,
-                    value: str = "lognorm") -> tuple[np.ndarray, list[float], DataFrame]:
-    """Programs that start from prior gene sets, with the packed cells they were fitted on."""
+def seeded_start(genes: DataFrame, prior: DataFrame, extra: int = 0) -> np.ndarray:
+    """The dictionary a fit starts from: genes of a program's prior set weigh e**4 times the others; ``extra`` programs are nearly flat."""
     n = genes.count()
     active = factor.dictionary_matrix(prior.withColumn("weight", F.lit(1.0)), genes) > 0
     if extra:
@@ -166,17 +166,76 @@ def seeded_programs(expression: DataFrame, genes: DataFrame, prior: DataFrame, r
     logits = np.where(active, 2.0, -2.0)
     if extra:
         logits[-extra:] += 0.1 * np.random.default_rng(0).standard_normal((extra, n))
-    start = np.exp(logits) / np.exp(logits).sum(1, keepdims=True)
+    return np.exp(logits) / np.exp(logits).sum(1, keepdims=True)
+
+
+def seeded_programs(expression: DataFrame, genes: DataFrame, prior: DataFrame, rounds: int, extra: int = 0,
+                    value: str = "lognorm") -> tuple[np.ndarray, list[float], DataFrame]:
+    """Programs that start from prior gene sets, with the packed cells they were fitted on."""
+    start = seeded_start(genes, prior, extra)
     packed = settle(factor.pack(expression, genes, value))
-    h, losses = factor.factorize(packed, n, start, rounds)
+    h, losses = factor.factorize(packed, start.shape[1], start, rounds)
     return h / (h.sum(1, keepdims=True) + 1e-9), losses, packed
 
 
+class Fit(NamedTuple):
+    """A dictionary (programs x genes), the round it is from, why rounds ended, and ``history(step, train_loss, val_loss, sharpness, chosen, reason)``."""
+
+    programs: np.ndarray
+    step: int
+    reason: str
+    history: DataFrame
+    packed: DataFrame
+
+
+def validated_programs(expression: DataFrame, split: DataFrame, genes: DataFrame, prior: DataFrame, rounds: int, extra: int = 0, value: str = "lognorm",
+                       window: int = 8, drop: float = 0.008, tolerance: float = 0.0) -> Fit:
+    """Programs that start from prior gene sets and are fitted on the training cells of ``split(sample_id, cell_id, is_train)`` only.
+
+    Each round reads the packed cells once: training cells give the sums of the next dictionary, held-out cells are measured with the present
+    one. Rounds end when the trend of the held-out loss over ``window`` rounds is flat (``trend.plateau_step``: reason ``plateau``), when that loss
+    overshoots its best by more than its noise (``trend.loss_ceiling``: ``overshoot``), or after ``rounds`` (``rounds``). Of the rounds whose
+    held-out loss is within ``tolerance`` of the best, the one with the least loss over root sharpness is taken (``trend.pareto_best``), so at the default
+    the result is never above the best held-out loss. Cells missing from ``split`` take no part; if none is held out, the training loss
+    stands in. The driver holds the dictionaries that may still be chosen, programs x genes each.
+    """
+    spark = expression.sparkSession
+    h = np.maximum(seeded_start(genes, prior, extra), 1e-9)
+    n = h.shape[1]
+    packed = settle(factor.pack(expression, genes, value).join(split.select(SAMPLE, CELL, "is_train"), [SAMPLE, CELL]).filter("is_train is not null"))
+    rows: list[tuple[int, float, float, float]] = []
+    kept: dict[int, np.ndarray] = {}
+    reason = "rounds"
+    for step in range(max(rounds, 1)):
+        wx, ww, train, held, sharp = factor.split_sums(packed, n, h)
+        held = train if np.isnan(held) else held
+        rows.append((step, train, held, sharp))
+        best = min(r[2] for r in rows)
+        kept[step] = h
+        kept = {s: m for s, m in kept.items() if rows[s][2] <= best * (1 + tolerance)}
+        if step + 1 >= window:
+            seen = spark.createDataFrame([("fit", r[0], float(r[2])) for r in rows], "run_id string, step int, value double")
+            if trend.plateau_step(trend.trend_window(seen, window), window, drop, rounds + 1).first() is not None:
+                reason = "plateau"
+                break
+            if trend.loss_ceiling(seen, window).filter((F.col("step") == step) & F.col("overshoot")).first() is not None:
+                reason = "overshoot"
+                break
+        h = h * (wx / (ww @ h + 1e-12))
+    told = spark.createDataFrame([("fit", s, float(a), float(b), float(c)) for s, a, b, c in rows], "run_id string, step int, train_loss double, val_loss double, sharpness double")
+    eligible = F.col("step").isin(list(kept))
+    chosen = trend.pareto_best(told, F.col("val_loss"), F.col("sharpness"), eligible).first().best_step
+    history = told.drop("run_id").withColumn("chosen", F.col("step") == chosen).withColumn("reason", F.lit(reason))
+    found = kept[chosen]
+    return Fit(found / (found.sum(1, keepdims=True) + 1e-9), chosen, reason, history, packed)
+
+
 def smooth_expression(expression: DataFrame, edges: DataFrame, hops: int, alpha: float = 0.5,
                       value: str = "lognorm") -> DataFrame:
     """Expression mixed with its spatial neighbourhood, weights normalised per receiving cell."""
-    total = F.sum("weight").over(Window.partitionBy(SAMPLE, "dst"))
-    wired = edges.withColumn("weight", F.try_divide(F.col("weight"), total)).na.fill(0.0, ["weight"])
+    total = edges.groupBy(F.col(SAMPLE).alias("_s"), F.col("dst").alias("_d")).agg(F.sum("weight").alias("_total"))
+    wired = (edges.join(total, (F.col(SAMPLE) == F.col("_s")) & (F.col("dst") == F.col("_d")))
+             .withColumn("weight", F.coalesce(F.try_divide(F.col("weight"), F.col("_total")), F.lit(0.0))).drop("_s", "_d", "_total"))
     return graph.propagate(expression, wired, hops, alpha, value=value, attention=False)
 
 

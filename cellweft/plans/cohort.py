@@ -120,10 +120,9 @@ def run_cohort(spark: SparkSession, manifest: DataFrame, cells: DataFrame, expre
 
     def make_programs() -> DataFrame:
         context = priors.smooth_expression(fit_expr, fit_edges, cfg.k_hops)
-        fitted, losses, _ = priors.seeded_programs(context, t["genes"], t["priors"], cfg.fit_rounds, cfg.extra_programs)
-        history = spark.createDataFrame([(i, x) for i, x in enumerate(losses)], "epoch int, train_loss double")
-        writers.write_csv(history, f"{out}/history")
-        return factor.dictionary_table(spark, fitted, t["genes"])
+        fit = priors.validated_programs(context, fit_cells, t["genes"], t["priors"], cfg.fit_rounds, cfg.extra_programs)
+        writers.write_csv(fit.history.withColumnRenamed("step", "epoch").coalesce(1).sortWithinPartitions("epoch"), f"{out}/history")
+        return factor.dictionary_table(spark, fit.programs, t["genes"])
 
     t["programs"] = _kept(spark, f"{out}/programs", make_programs)
 

@@ -127,3 +127,46 @@ def test_sketch_keeps_the_target(spark):
     cfg = CohortConfig.for_mode("DEV", max_cells_per_sample=50)
     n = {r.sample_id: r["count"] for r in limit_cells(cells, expr, cfg).groupBy("sample_id").count().collect()}
     assert n == {"s": 50, "t": 20}
+
+
+def planted_cells(spark, shift=0.0):
+    """Three programs of four genes; every cell is mostly one of them. ``shift`` changes held-out cells only."""
+    rng = np.random.default_rng(3)
+    rows, split = [], []
+    for i in range(240):
+        train = i % 5 != 0
+        split.append(("s", i, train))
+        for g in range(12):
+            x = (4.0 if g // 4 == i % 3 else 0.0) + rng.random() * 0.4
+            rows.append(("s", i, f"G{g:02d}", x if train else x + shift))
+    return (spark.createDataFrame(rows, "sample_id string, cell_id long, gene string, lognorm double"),
+            spark.createDataFrame(split, "sample_id string, cell_id long, is_train boolean"))
+
+
+def test_fit_ends_at_its_best_held_out_loss(spark):
+    expression, split = planted_cells(spark)
+    genes = factor.vocabulary(expression)
+    prior = spark.createDataFrame([(k, f"G{4 * k + j:02d}") for k in range(3) for j in range(2)], "program_id int, gene string")
+    fit = priors.validated_programs(expression, split, genes, prior, 40)
+    history = sorted(fit.history.collect(), key=lambda r: r.step)
+    assert [r.step for r in history] == list(range(len(history))) and 8 <= len(history) < 40 and fit.reason in ("plateau", "overshoot")
+    assert sum(r.chosen for r in history) == 1 and history[fit.step].chosen
+    assert history[fit.step].val_loss == min(r.val_loss for r in history) < 0.2 * history[0].val_loss
+    for k in range(3):  # every program found the genes that its prior lacked
+        assert set(np.argsort(-fit.programs[k])[:4]) == set(range(4 * k, 4 * k + 4))
+    short = priors.validated_programs(expression, split, genes, prior, 3)
+    assert short.reason == "rounds" and short.history.count() == 3
+
+
+def test_held_out_cells_leave_the_sums_alone(spark):
+    """Two cohorts that differ in held-out cells only have the same training losses, and other held-out losses."""
+    prior = spark.createDataFrame([(k, f"G{4 * k:02d}") for k in range(3)], "program_id int, gene string")
+    histories = []
+    for shift in (0.0, 2.0):
+        expression, split = planted_cells(spark, shift)
+        histories.append(priors.validated_programs(expression, split, factor.vocabulary(expression), prior, 4).history.orderBy("step").collect())
+    assert [round(r.train_loss, 9) for r in histories[0]] == [round(r.train_loss, 9) for r in histories[1]]
+    assert all(abs(a.val_loss - b.val_loss) > 1e-6 for a, b in zip(*histories, strict=True))
+    nobody = split.withColumn("is_train", F.lit(True))
+    alone = priors.validated_programs(expression, nobody, factor.vocabulary(expression), prior, 2).history.collect()
+    assert all(r.val_loss == r.train_loss for r in alone)
