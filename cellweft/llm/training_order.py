@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from pathlib import PurePosixPath
@@ -21,11 +20,8 @@ from cellweft.llm.common import keep, mix64, signature_rows
 
 #: Tokens in a sequence and sequences in a shard: 4096 bytes and 64 MB at two bytes a token.
 STRIDE, SHARD_ROWS = 2048, 16_384
-#: Pieces of text whose tokens one task remembers.
-MEMO = 300_000
 #: The public pattern that splits text before merges (a fixed value of the vocabulary).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_RUNS_ON = re.compile(r"\s ")
 
 
 @dataclass(frozen=True)
@@ -50,11 +46,10 @@ class Feistel:
         return out.astype(np.int64)
 
 
-class Tokens(dict):
-    """Token ids of pieces of text as little-endian 16-bit numbers, remembered from piece to piece."""
+class Tokens:
+    """Token ids of whole texts as little-endian 16-bit numbers."""
 
     def __init__(self, vocabulary: str) -> None:
-        super().__init__()
         with open(vocabulary, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         if max(ranks.values()) >= 2 ** 16 - 1:
@@ -62,20 +57,8 @@ class Tokens(dict):
         self.end = np.array([max(ranks.values()) + 1], dtype="<u2").tobytes()
         self.encoding = tiktoken.Encoding("training", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.encoding.encode_ordinary(piece), dtype="<u2").tobytes()
-        if len(piece) <= 64:
-            if len(self) >= MEMO:
-                self.clear()
-            self[piece] = ids
-        return ids
-
     def of(self, text: str) -> bytes:
-        """All tokens of a text. Without white space before a blank, each blank starts a piece that is encoded on its own."""
-        if _RUNS_ON.search(text):
-            return np.array(self.encoding.encode_ordinary(text), dtype="<u2").tobytes()
-        first, *rest = text.split(" ")
-        return self[first] + b"".join([self[" " + p] for p in rest])
+        return np.array(self.encoding.encode_ordinary(text), dtype="<u2").tobytes()
 
 
 def _packed(vocabulary: str, stride: int):
