@@ -115,15 +115,17 @@ def signature_quality(signatures: DataFrame, labels: DataFrame, threshold: float
     """Score the quality of each text of ``signatures(lineage, genes)`` as ``labels(lineage, label)`` marks it.
 
     The labels given are all learnt from; hold rows back by leaving their labels out. Returns ``lineage, score, predicted``: the
-    probability of label 1, and whether it is ``threshold`` or more. Statistics are taken once over all whole texts and written; the
-    fit reads a bounded sample of them (``sample_rows``), and the rules are scored as one column expression.
+    probability of label 1, and whether it is ``threshold`` or more. Statistics are taken over all whole texts and written; the
+    fit reads a bounded sample of them (``sample_rows``), and the rules are scored as one column expression. What ``carry`` names may be as large as
+    the texts, so it isn't written: statistics are then taken once more, as the result is read.
 
     Null text is empty and gets a score like any other. Labels that are null or for unknown lineages are left out; several labels of one
     lineage count each. Repeated rows get equal scores, null lineages a score but no label. Extra columns are left out
     but for those that ``carry`` names.
     """
-    stats = keep(with_statistics(signature_rows(signatures, *carry)))
+    stats = keep(with_statistics(signature_rows(signatures)))
     known = labels.filter(F.col("label").isNotNull()).select("lineage", F.col("label").cast("double").alias("label"))
     model = fit_rules(stats.join(known, "lineage"), **fit)
-    scored = stats.select("lineage", *carry, model.score().alias("score"))
+    rows = with_statistics(signature_rows(signatures, *carry)) if carry else stats
+    scored = rows.select("lineage", *carry, model.score().alias("score"))
     return scored.select("lineage", *carry, "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
