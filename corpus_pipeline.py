@@ -22,8 +22,13 @@ from cellweft.llm.training_order import write_training_order
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with a number ``_row`` of each row, written so that it stays the same."""
-    return keep(docs.withColumn("_row", F.monotonically_increasing_id()))
+    """``docs`` with a number ``_row`` of each row that stays the same however often it is read.
+
+    Tables that are read as they lie keep their splits, so their numbers are made anew by each read; anything else is written once.
+    """
+    rows = docs.withColumn("_row", F.monotonically_increasing_id())
+    as_it_lies = docs._jdf.queryExecution().analyzed().toString().lstrip().startswith("Relation [")
+    return rows if as_it_lies else keep(rows)
 
 
 def by_row(rows: DataFrame) -> DataFrame:
@@ -32,16 +37,19 @@ def by_row(rows: DataFrame) -> DataFrame:
 
 
 def without(docs: DataFrame, outcome: DataFrame, drop: Column, key: str = "doc_id") -> DataFrame:
-    """``docs`` less those whose name ``key`` is that of a row of ``outcome(lineage, ...)`` that is to go; nothing else of the documents changes."""
+    """``docs`` less those whose name ``key`` is that of a row of ``outcome(lineage, ...)`` that is to go; nothing else of the documents changes.
+
+    The names that go are a written table of known size: Spark sends them to all tasks below its broadcast threshold, and sorts both sides beyond.
+    """
     gone = keep(outcome.filter(drop).select(F.col("lineage").alias("_gone")).distinct())
-    return docs.join(gone.hint("merge"), docs[key].eqNullSafe(gone["_gone"]), "left_anti")
+    return docs.join(gone, docs[key].eqNullSafe(gone["_gone"]), "left_anti")
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule ensemble takes to be of quality 0 go."""
-    rows = numbered(docs)
-    scored = signature_quality(as_signatures(rows, F.col("_row")), learning_labels(table(spark, sf_dir, "labels")), carry=("_row",))
-    return without(rows, scored.select(F.col("_row").alias("lineage"), "predicted"), F.col("predicted") == 0, "_row").select(*docs.columns)
+    whole = docs.select("doc_id", "text", F.struct(*docs.columns).alias("_document"))
+    scored = signature_quality(as_signatures(whole, F.col("_document")), learning_labels(table(spark, sf_dir, "labels")), carry=("_document",))
+    return scored.filter(F.col("predicted") != 0).select("_document.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
