@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,10 +18,8 @@ from cellweft.llm.linking import connected
 SHINGLE, COLLECTIONS, MINHASHES = 5, 16, 3
 #: A pair is worth confirming if so many of the 96 minhashes agree; at similarity 0.75 fewer agree with probability 0.00002.
 AGREEING = 54
-#: Rows of one table key that are compared in one task; larger groups are compared block by block.
-BLOCK = 1000
-#: Pairs of members of two groups that are listed one by one; larger pairs of groups are compared block by block.
-LISTED = 16
+#: Rows of one table key, and shingles of their sets, that are compared in one task; larger groups are compared block by block.
+BLOCK, BLOCK_ITEMS = 1000, 1_000_000
 
 _GAP = gaps("space")
 _TOTAL = 2 * COLLECTIONS * MINHASHES
@@ -67,8 +64,8 @@ def _sketch_columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             keys.append(collection_keys(low).view(np.int64))
             marks.append((mix64(low) & np.uint64(255)).astype(np.uint8).tobytes())
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(keys, pa.list_(pa.int64())),
-             pa.array(marks, pa.binary())], names=["lineage", "n_shingles", "set_id", "keys", "marks"])
+            [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(keys, pa.list_(pa.int64())),
+             pa.array(marks, pa.binary())], names=["lineage", "digest", "n_shingles", "set_id", "keys", "marks"])
 
 
 def _set_columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,59 +77,8 @@ def _set_columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), sets], names=["node", "items"])
 
 
-def _bucket_pairs(by_group: bool):
-    """Pairs that share a table key and agree in enough minhashes, from rows sorted by bucket ``key, i, j``.
-
-    For each row its best partner, or (``by_group``) pairs of different groups, each pair of rows only in the first table they share.
-    """
-    def is_first(keys: np.ndarray, x: np.ndarray, y: np.ndarray, table: np.ndarray) -> np.ndarray:
-        """Whether ``table`` is the first pair of collections in which rows agree, by the keys that tables are made of: marks may agree by chance."""
-        agree = np.stack([keys[x, i] == keys[y, i] for i in range(2 * COLLECTIONS)], axis=1).reshape(-1, 2, COLLECTIONS).argmax(axis=2)
-        return agree[:, 0] * COLLECTIONS + agree[:, 1] == table
-
-    def pairs(bucket: np.ndarray, block: np.ndarray, half: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-        later = np.repeat(np.append(starts[1:], len(bucket)), np.diff(np.append(starts, len(bucket)))) - np.arange(len(bucket)) - 1
-        done = 0
-        while done < len(bucket):
-            ends = np.cumsum(later[done:])
-            n = max(1, int(np.searchsorted(ends, 200_000, side="right")))
-            left = np.repeat(np.arange(done, done + n), later[done:done + n])
-            first = np.repeat(ends[:n] - later[done:done + n], later[done:done + n])
-            right = left + 1 + np.arange(len(left)) - first
-            fits = ~half[left] | (block[left] != block[right])  # of two different blocks, only pairs across
-            yield left[fits], right[fits]
-            done += n
-
-    def of(rows: pa.Table) -> pa.RecordBatch:
-        node, block, label = (rows[c].to_numpy() for c in ("node", "block", "label"))
-        marks = np.frombuffer(b"".join(rows["marks"].to_pylist()), dtype=np.uint8).reshape(-1, _TOTAL)
-        bucket, table = rows["bucket"].to_numpy(), rows["table"].to_numpy()
-        half = rows["i"].to_numpy() != rows["j"].to_numpy()
-        keys = rows["keys"].combine_chunks().flatten().to_numpy().reshape(-1, 2 * COLLECTIONS) if by_group else None
-        out = []
-        for x, y in pairs(bucket, block, half):
-            if by_group:
-                other = label[x] != label[y]
-                x, y = x[other], y[other]
-            agree = (marks[x] == marks[y]).sum(axis=1)
-            good = agree >= AGREEING
-            x, y, agree = x[good], y[good], agree[good]
-            if by_group:
-                first = is_first(keys, x, y, table[x])
-                x, y = x[first], y[first]
-                low, high = np.minimum(label[x], label[y]), np.maximum(label[x], label[y])
-                out.append(np.unique(np.stack([low, high, np.zeros_like(low)], axis=1), axis=0))
-            else:
-                both = np.stack([np.append(node[x], node[y]), np.append(node[y], node[x]), np.append(agree, agree)], axis=1)
-                both = both[(both[:, 0] != both[:, 1])]
-                both = both[np.lexsort((both[:, 1], -both[:, 2], both[:, 0]))]
-                out.append(both[np.append(True, both[1:, 0] != both[:-1, 0])] if len(both) else both)
-        found = np.concatenate(out) if out else np.zeros((0, 3), dtype=np.int64)
-        if by_group and len(found):
-            found = np.unique(found, axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(found[:, i], pa.int64()) for i in range(3)], names=["a", "b", "agree"])
-
+def _by_bucket(work: Callable[[pa.Table], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Hand whole buckets to ``work``, from rows sorted by ``bucket``; no more than a batch and one bucket is held."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
@@ -142,34 +88,150 @@ def _bucket_pairs(by_group: bool):
             cut = int(np.flatnonzero(bucket != bucket[-1])[-1]) + 1 if len(bucket) and bucket[0] != bucket[-1] else 0
             held = rows.slice(cut)
             if cut:
-                yield of(rows.slice(0, cut))
+                yield work(rows.slice(0, cut))
         if held is not None and held.num_rows:
-            yield of(held)
+            yield work(held)
     return run
 
 
-def bucket_pairs(nodes: DataFrame, by_group: bool) -> DataFrame:
-    """Candidate pairs of ``nodes(node, label, marks, left, right)`` by table keys, with ``keys`` of all collections for pairs of groups.
-
-    Pairs of groups come from all tables, each left collection with each right one; best partners, which need not be complete, from
-    the tables of collections of one number. Only table keys with rows of two groups can give pairs of groups; marks and keys go to those alone.
+def _marks_of(rows: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(rows["marks"].to_pylist()), dtype=np.uint8).reshape(-1, _TOTAL)
+
+
+def _pairs(bucket: np.ndarray, block: np.ndarray, half: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows of one bucket, at most some 200 000 at a time; where two different blocks meet, only pairs across."""
+    starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    later = np.repeat(np.append(starts[1:], len(bucket)), np.diff(np.append(starts, len(bucket)))) - np.arange(len(bucket)) - 1
+    done = 0
+    while done < len(bucket):
+        ends = np.cumsum(later[done:])
+        n = max(1, int(np.searchsorted(ends, 200_000, side="right")))
+        left = np.repeat(np.arange(done, done + n), later[done:done + n])
+        first = np.repeat(ends[:n] - later[done:done + n], later[done:done + n])
+        right = left + 1 + np.arange(len(left)) - first
+        fits = ~half[left] | (block[left] != block[right])
+        yield left[fits], right[fits]
+        done += n
+
+
+def _best_partners(rows: pa.Table) -> pa.RecordBatch:
+    """For each row of a bucket the node that agrees with it in most minhashes, if enough do."""
+    node, block, bucket = (rows[c].to_numpy() for c in ("node", "block", "bucket"))
+    half, marks = rows["i"].to_numpy() != rows["j"].to_numpy(), _marks_of(rows)
+    out = [np.zeros((0, 3), dtype=np.int64)]
+    for x, y in _pairs(bucket, block, half):
+        agree = (marks[x] == marks[y]).sum(axis=1)
+        good = (agree >= AGREEING) & (node[x] != node[y])
+        x, y, agree = x[good], y[good], agree[good]
+        both = np.stack([np.append(node[x], node[y]), np.append(node[y], node[x]), np.append(agree, agree)], axis=1)
+        both = both[np.lexsort((both[:, 1], -both[:, 2], both[:, 0]))]
+        out.append(both[np.append(True, both[1:, 0] != both[:-1, 0])] if len(both) else both)
+    found = np.concatenate(out)
+    return pa.RecordBatch.from_arrays([pa.array(found[:, i], pa.int64()) for i in range(3)], names=["a", "b", "agree"])
+
+
+def _first_table(keys: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The first pair of collections in which rows agree, by the keys that tables are made of: marks may agree by chance."""
+    agree = np.stack([keys[x, i] == keys[y, i] for i in range(2 * COLLECTIONS)], axis=1).reshape(-1, 2, COLLECTIONS).argmax(axis=2)
+    return agree[:, 0] * COLLECTIONS + agree[:, 1]
+
+
+def _keys_of(rows: pa.Table) -> np.ndarray:
+    return rows["keys"].combine_chunks().flatten().to_numpy().reshape(-1, 2 * COLLECTIONS)
+
+
+def _to_compare(rows: pa.Table) -> pa.RecordBatch:
+    """Rows of a bucket that are to be compared there: each has a candidate of another group, and this is the first table of the two."""
+    label, block, bucket, table = (rows[c].to_numpy() for c in ("label", "block", "bucket", "table"))
+    half, marks, keys = rows["i"].to_numpy() != rows["j"].to_numpy(), _marks_of(rows), _keys_of(rows)
+    chosen = np.zeros(len(label), dtype=bool)
+    for x, y in _pairs(bucket, block, half):
+        other = label[x] != label[y]
+        x, y = x[other], y[other]
+        good = (marks[x] == marks[y]).sum(axis=1) >= AGREEING
+        x, y = x[good], y[good]
+        first = _first_table(keys, x, y) == table[x]
+        chosen[x[first]] = chosen[y[first]] = True
+    out = {"bucket": bucket, "node": rows["node"].to_numpy(), "block": block, "table": table, "half": half}
+    return pa.RecordBatch.from_arrays([pa.array(v[chosen]) for v in out.values()], names=list(out))
+
+
+def _forest(rows: pa.Table) -> pa.RecordBatch:
+    """Links between groups, confirmed on full sets: in each bucket a spanning forest of all that hold.
+
+    A row is compared with its candidates of other groups at once, and each group it is linked with joins its own before the next row.
+    """
+    node, block, bucket, table, half = (rows[c].to_numpy(zero_copy_only=False) for c in ("node", "block", "bucket", "table", "half"))
+    marks, keys, items = _marks_of(rows), _keys_of(rows), rows["items"].combine_chunks()
+    flat, offsets = items.values.to_numpy(), items.offsets.to_numpy()
+    sizes, group, found = np.diff(offsets), rows["label"].to_numpy().copy(), []
+
+    def shared(x: int, y: int) -> int:
+        own, theirs = flat[offsets[x]:offsets[x + 1]], flat[offsets[y]:offsets[y + 1]]
+        return len(own) + len(theirs) - len(np.unique(np.concatenate([own, theirs])))
+
+    starts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
+    for start, end in zip(starts[:-1], starts[1:], strict=True):
+        for x in range(start, end - 1):
+            y = np.arange(x + 1, end)
+            y = y[(group[y] != group[x]) & (~half[x] | (block[y] != block[x]))]
+            y = y[100 * np.minimum(sizes[y], sizes[x]) >= 75 * np.maximum(sizes[y], sizes[x])]
+            y = y[(marks[y] == marks[x]).sum(axis=1) >= AGREEING]
+            y = y[_first_table(keys, np.full(len(y), x), y) == table[x]]
+            for other in y:
+                if group[other] != group[x]:
+                    common = shared(x, other)
+                    if 100 * common >= 75 * (sizes[x] + sizes[other] - common):
+                        found.append((node[x], node[other]))
+                        here = group[start:end]
+                        here[here == group[other]] = group[x]
+    ends = np.array(found, dtype=np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(ends[:, i], pa.int64()) for i in range(2)], names=["a", "b"])
+
+
+def in_buckets(nodes: DataFrame, by_group: bool) -> DataFrame:
+    """``nodes(node, label, n_shingles, marks, keys, left, right)`` in every table key they have, block by block, sorted by ``bucket``.
+
+    For groups, all tables are made, each left collection with each right one, and only keys with rows of two groups are left; for best
+    partners, which need not be complete, tables of collections of one number do.
     """
     right = F.col("right") if by_group else F.filter("right", lambda r: r["pos"] == F.col("l.pos") + COLLECTIONS)
-    given, later = (["node", "label"], ["marks", "keys"]) if by_group else (["node", "label", "marks"], [])
+    given, later = (["node", "label", "n_shingles"], ["marks", "keys"]) if by_group else (["node", "label", "n_shingles", "marks"], [])
     keyed = (nodes.select(*given, F.explode("left").alias("l"), "right")
              .select(*given, "l", F.explode(right).alias("r"))
              .select(F.xxhash64("l.key", "r.key").alias("key"), (F.col("l.pos") * COLLECTIONS + F.col("r.pos") - COLLECTIONS).alias("table"), *given))
-    counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
-    full = keep(counts.filter(F.col("low") < F.col("high") if by_group else F.col("n") > BLOCK)
-                .select("key", F.ceil(F.col("n") / BLOCK).alias("blocks")))
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n_shingles") / BLOCK_ITEMS))
+    counts = keyed.groupBy("key").agg(blocks.alias("blocks"), F.min("label").alias("low"), F.max("label").alias("high"))
+    full = keep(counts.filter(F.col("low") < F.col("high") if by_group else F.col("blocks") > 1).select("key", "blocks"))
     blocks = F.coalesce("blocks", F.lit(1))
     found = keyed.join(full.hint("merge"), "key").join(nodes.select("node", *later).hint("merge"), "node") if by_group else keyed.join(full, "key", "left")
     rows = (found.withColumn("block", F.pmod(F.xxhash64("node"), blocks))
             .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
             .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "label", "block", "marks", "table", *later[1:])
             .withColumn("bucket", F.xxhash64("key", "i", "j")))
-    ordered = rows.repartition("bucket").sortWithinPartitions("bucket", "node")
-    return ordered.mapInArrow(_bucket_pairs(by_group), "a bigint, b bigint, agree bigint")
+    return rows.repartition("bucket").sortWithinPartitions("bucket", "node")
+
+
+def best_partners(nodes: DataFrame) -> DataFrame:
+    """Of each node that has a candidate, the pair ``a, b`` with the one that agrees with it most: no more pairs than nodes."""
+    each = in_buckets(nodes, by_group=False).mapInArrow(_by_bucket(_best_partners), "a bigint, b bigint, agree bigint")
+    best = each.groupBy("a").agg(F.max(F.struct("agree", "b")).alias("m"))
+    return best.select(F.least("a", "m.b").alias("a"), F.greatest("a", "m.b").alias("b")).distinct()
+
+
+def links_of_groups(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Confirmed links ``a, b`` between nodes of different groups (``label``) that connect all groups with a link.
+
+    Candidates never become rows: a first pass tells which nodes have one in which bucket, their sets go there, and each bucket returns
+    a spanning forest of the links that hold. Rows of both passes are bounded by the rows of the buckets, however many nodes are alike.
+    """
+    buckets = in_buckets(nodes, by_group=True)
+    needed = keep(buckets.mapInArrow(_by_bucket(_to_compare), "bucket bigint, node bigint, block bigint, table int, half boolean"))
+    whole = nodes.select("node", "label", "marks", "keys").join(sets.hint("merge"), "node")
+    rows = needed.hint("merge").join(whole, "node").repartition("bucket").sortWithinPartitions("bucket", "node")
+    out = keep(rows.mapInArrow(_by_bucket(_forest), "a bigint, b bigint"))
+    drop_table(needed)
+    return out
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -181,47 +243,6 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return near.filter(100 * F.col("common") >= 75 * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b")
 
 
-def _across(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """One link, if there is any, from each outsider (right) to a member (left) of the same block of a group."""
-    found = []
-    if len(left) and len(right):
-        sizes = left["items"].map(len).to_numpy()
-        flat, starts = np.concatenate(left["items"].to_list()), np.append(0, np.cumsum(sizes)[:-1])
-        for node, items in zip(right["node"], right["items"], strict=True):
-            common = np.add.reduceat(np.isin(flat, items), starts, dtype=np.int64)
-            near = np.flatnonzero(100 * common >= 75 * (sizes + len(items) - common))
-            if len(near):
-                found.append((int(left["node"].iloc[near[0]]), int(node)))
-    return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
-
-
-def confirmed_across(pairs: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links between members of the pairs of groups ``a, b``, at least one if there is any; ``members(node, group)``."""
-    sizes = members.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
-    sized = (pairs.select("a", "b").distinct().join(sizes.select(F.col("group").alias("a"), F.col("n").alias("na")), "a")
-             .join(sizes.select(F.col("group").alias("b"), F.col("n").alias("nb")), "b"))
-    sized = keep(sized.select(F.when(F.col("na") >= F.col("nb"), F.col("a")).otherwise(F.col("b")).alias("big"),
-                              F.when(F.col("na") >= F.col("nb"), F.col("b")).otherwise(F.col("a")).alias("small"), (F.col("na") * F.col("nb")).alias("work"),
-                              F.greatest("na", "nb").alias("n")))
-    big = members.select(F.col("group").alias("big"), F.col("node").alias("a"))
-    small = members.select(F.col("group").alias("small"), F.col("node").alias("b"))
-    few = confirmed(sized.filter(F.col("work") <= LISTED).join(big, "big").join(small, "small").select("a", "b"), sets)
-    many = sized.filter(F.col("work") > LISTED)
-    # Outsiders go to every block of the group; its members to one block, and to every block of outsiders.
-    hash_of = lambda c, n: F.pmod(F.xxhash64(c), n)
-    again = sets.select(F.col("node").alias("node"), F.col("items").alias("items"))
-    outside = many.join(small, "small").select("big", "b", "n").distinct().withColumn("parts", F.ceil(F.col("n") / BLOCK))
-    crowd = keep(outside.groupBy("big").agg(F.first("parts").alias("parts"), F.ceil(F.count(F.lit(1)) / BLOCK).alias("crowds")))
-    right = (outside.select("big", "b").join(crowd, "big").withColumn("crowd", hash_of("b", F.col("crowds")))
-             .withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-             .select("big", "part", "crowd", F.col("b").alias("node")).join(sets, "node"))
-    left = (big.join(crowd, "big").withColumn("part", hash_of("a", F.col("parts")))
-            .withColumn("crowd", F.explode(F.sequence(F.lit(0).cast("long"), F.col("crowds") - 1)))
-            .select("big", "part", "crowd", F.col("a").alias("node")).join(again, "node"))
-    key = ["big", "part", "crowd"]
-    return few.unionByName(left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(_across, "a bigint, b bigint"))
-
-
 def near_signatures(signatures: DataFrame) -> DataFrame:
     """Groups of ``signatures(lineage, genes)`` whose texts are near duplicates, and which row of each group stays.
 
@@ -231,47 +252,48 @@ def near_signatures(signatures: DataFrame) -> DataFrame:
 
     Equal sets become one node first. A node has two sides of small minhash collections; nodes that share no collection on either side drop
     out, the others meet in the tables of all pairs of collections. First each node is paired with its most agreeing partner; these pairs
-    are confirmed on the full sets and joined into groups. A pass over all tables then finds pairs of groups that some of their members
-    may link, and those are confirmed member by member. So the rows that are made follow the nodes, not the pairs, however many copies
-    a text has; no candidate is dropped. Candidates are found by minhash: a pair at the limit is missed with a probability below 0.0004.
+    are confirmed on the full sets and joined into groups. A pass over all tables then finds which nodes are alike to nodes of other groups;
+    their sets go to the table keys they share, block by block, and are compared there. So the rows that are made follow the nodes and their
+    table keys, not the pairs, however many texts are copies or merely alike; comparisons inside a key still grow with the square of its
+    rows. No candidate is dropped. Candidates are found by minhash: a pair at the limit is missed with a probability below 0.0004.
 
     Texts without words have empty sets and stay on their own. Repeated rows with one lineage share one outcome. Null lineages
     are last choice as a name: ``component_id`` is null only if all rows of the group have none, and ``kept`` compares nulls as equal. Empty
     tables give empty results; extra columns are left out.
     """
-    rows = signature_rows(signatures)
+    rows = signature_rows(signatures).withColumn("digest", F.xxhash64("genes"))
     kind = rows.schema["lineage"].dataType.simpleString()
     sketched = keep(rows.mapInArrow(
-        _sketch_columns, f"lineage {kind}, n_shingles bigint, set_id binary, keys array<bigint>, marks binary"))
+        _sketch_columns, f"lineage {kind}, digest bigint, n_shingles bigint, set_id binary, keys array<bigint>, marks binary"))
+    # One text of each set is read again, found by its lineage and digest; rows that share both hold the same text.
     nodes = keep(sketched.filter("n_shingles > 0").groupBy("set_id").agg(
-        F.min("lineage").alias("lineage"), F.first("keys").alias("keys"), F.first("marks").alias("marks"))
-        .withColumn("node", F.monotonically_increasing_id()))
+        F.min("lineage").alias("lineage"), F.min(F.struct("lineage", "digest")).alias("source"), F.first("n_shingles").alias("n_shingles"),
+        F.first("keys").alias("keys"), F.first("marks").alias("marks")).withColumn("node", F.monotonically_increasing_id()))
     each = nodes.select("node", F.posexplode("keys").alias("pos", "key"))
     common = each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
     sides = (each.join(common.hint("merge"), "key", "left_semi").groupBy("node")
              .agg(*[F.collect_list(F.when(c, F.struct("pos", "key"))).alias(n) for n, c in (("left", F.col("pos") < COLLECTIONS),
                                                                                  ("right", F.col("pos") >= COLLECTIONS))])
              .filter((F.size("left") > 0) & (F.size("right") > 0)))
-    close = keep(nodes.select("node", "lineage", "set_id", "marks", "keys").join(sides, "node"))
-    texts = rows.select(F.col("lineage").alias("_l"), "genes")
-    sets = keep(close.select("node", "set_id", "lineage").hint("merge").join(texts, F.col("lineage").eqNullSafe(F.col("_l")))
+    close = keep(nodes.select("node", "set_id", "source", "n_shingles", "marks", "keys").join(sides, "node"))
+    texts = rows.select(F.col("lineage").alias("_l"), F.col("digest").alias("_d"), "genes")
+    same = (F.col("source.digest") == F.col("_d")) & F.col("source.lineage").eqNullSafe(F.col("_l"))
+    sets = keep(close.select("node", "set_id", "source").hint("merge").join(texts, same)
                 .select("node", "set_id", "genes").mapInArrow(_set_columns, "node bigint, items array<bigint>").dropDuplicates(["node"]))
-    best = (bucket_pairs(close.withColumn("label", F.col("node")), by_group=False)
-            .groupBy("a").agg(F.max(F.struct("agree", "b")).alias("m")).select(F.least("a", "m.b").alias("a"), F.greatest("a", "m.b").alias("b")))
-    links = keep(confirmed(keep(best.distinct()), sets))
+    best = keep(best_partners(close.withColumn("label", F.col("node"))))
+    links = keep(confirmed(best, sets))
     groups = connected(links)
-    labelled = keep(close.select("node", "marks", "keys", "left", "right").join(groups, "node", "left")
+    labelled = keep(close.select("node", "n_shingles", "marks", "keys", "left", "right").join(groups, "node", "left")
                     .withColumn("label", F.coalesce("group", "node")).drop("group"))
-    across = keep(bucket_pairs(labelled, by_group=True).select("a", "b").distinct())
-    members = labelled.select("node", F.col("label").alias("group"))
-    more = keep(confirmed_across(across, members, sets))
+    drop_table(groups)
+    more = links_of_groups(labelled, sets)
     groups = connected(links.unionByName(more))
     named = nodes.select("node", "set_id", "lineage").join(groups, "node", "left").withColumn("group", F.coalesce("group", "node"))
     smallest = named.groupBy("group").agg(F.min("lineage").alias("component_id"))
     out = keep(named.select("set_id", "group").join(smallest, "group").select("set_id", "component_id"))
-    for table in (close, sets, links, labelled, across, more):
-        drop_table(table)
     joined = sketched.select("lineage", "n_shingles", "set_id").join(out, "set_id", "left")
     component = F.when(F.col("set_id").isNull(), F.col("lineage")).otherwise(F.col("component_id"))
-    return joined.select("lineage", "n_shingles", component.alias("component_id")).withColumn(
-        "kept", F.col("lineage").eqNullSafe(F.col("component_id")))
+    result = keep(joined.select("lineage", "n_shingles", component.alias("component_id")))
+    for table in (sketched, nodes, close, sets, best, links, labelled, more, groups, out):
+        drop_table(table)
+    return result.withColumn("kept", F.col("lineage").eqNullSafe(F.col("component_id")))

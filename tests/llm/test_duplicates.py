@@ -90,6 +90,60 @@ def test_near_signatures_over_bridges(spark):
     assert [k for k, v in sorted(got.items()) if v != k - k % 4] == []
 
 
+def test_near_signatures_of_unlinked_crowds(spark, monkeypatch):
+    """Texts that are all alike, few of them linked: written rows grow as the texts do, and candidates don't become rows."""
+    rng, written = random.Random(4), {}
+
+    def crowd(n):
+        base = [f"g{i}" for i in range(400)]
+        for i in range(n):
+            words = list(base)
+            for j in rng.sample(range(400), 16):
+                words[j] = f"v{i}_{j}"
+            yield i, " ".join(words)
+        yield n, " ".join(base)
+
+    rows = {n: list(crowd(n)) for n in (120, 240)}
+    plain_keep = near.keep
+    for n, texts in rows.items():
+        sizes = written[n] = []
+
+        def counted(df, *more, sizes=sizes):
+            table = plain_keep(df, *more)
+            sizes.append(table.count())
+            return table
+
+        monkeypatch.setattr(near, "keep", counted)
+        got = listed(near_signatures(rows_of(spark, texts)), "lineage", "n_shingles", "component_id", "kept")
+        assert got == sorted(plain.near(texts), key=repr)
+    assert sum(written[240]) < 2.6 * sum(written[120])
+
+
+def test_near_signatures_without_names(spark):
+    """A third of all rows have no lineage: each text is judged by itself, and texts are read again once each."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(90):
+        words = sentence(rng, 60).split(" ")
+        rows += [(None, " ".join(words)), (3 * i, " ".join(words[1:])), (3 * i + 1, sentence(rng, 60))]
+    rows += [(None, "one text without a name " * 3)] * 40
+    got = listed(near_signatures(rows_of(spark, rows)), "lineage", "n_shingles", "component_id", "kept")
+    assert got == sorted(plain.near(rows), key=repr)
+
+
+def test_near_signatures_find_links_at_the_limit(spark):
+    """Pairs of 0.75 to 0.8: all 1 500 of them are found."""
+    rows = []
+    for i in range(1500):
+        a = [f"a{i}_{j}" for j in range(154)]
+        n = 22 - i % 5
+        rows += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(a[:150 - n + 4] + [f"b{i}_{j}" for j in range(n)]))]
+    got = {r.lineage: r.component_id for r in near_signatures(rows_of(spark, rows)).collect()}
+    near_pairs = [k for k in range(0, 3000, 2) if 100 * (150 - (22 - k // 2 % 5)) >= 75 * (150 + (22 - k // 2 % 5))]
+    missed = [k for k in near_pairs if got[k + 1] != k]
+    assert len(near_pairs) > 1000 and not missed
+
+
 def test_connected(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(139, 200), (7, 7), (300, 300)]
     got = {r.node: r.group for r in connected(spark.createDataFrame(chain, "a long, b long")).collect()}
