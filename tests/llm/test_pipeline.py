@@ -104,3 +104,28 @@ def test_rows_without_an_id_and_repeated_ids_are_judged_each(spark, monkeypatch)
     rows = frame([(None, words("e", 10)), (None, words("f", 90)), (9, words("g", 5)), (9, words("h", 60)), (9, words("h", 60)), (10, words("k", 33))])
     mixed = queries.mix_datasets(queries.as_cells(rows, queries.table(spark, SF, "labels"))).agg(F.sum("taken")).first()[0]
     assert sum(len(t.split()) for _, t in texts(pipeline.mix_sources(spark, rows, SF))) == mixed
+
+
+def test_names_of_rows_do_not_follow_splits(spark):
+    """A row has one name, read in one split or in many: executors that come or go change the splits."""
+    docs = pipeline.keep(queries.table(spark, SF, "documents").repartition(3))
+
+    def named(size):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        rows, row = pipeline.numbered(docs)
+        return sorted((r[0], r[1]) for r in rows.select("doc_id", row).collect())
+
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        few, many = named("128m"), named("20k")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert few == many and len({name for _, name in few}) == len(few) > 0
+
+
+def test_columns_with_the_names_that_stages_use(spark):
+    docs = queries.table(spark, SF, "documents").limit(12).withColumns({n: F.lit(n) for n in ("_row", "_size", "_taken", "_time", "_gone", "place", "label")})
+    for stage in (pipeline.drop_near_duplicates, pipeline.drop_contaminated, pipeline.mix_sources):
+        got = stage(spark, docs, SF)
+        assert got.columns == docs.columns
+        assert {(r["_row"], r["_size"], r["_taken"], r["_time"], r["place"]) for r in got.collect()} <= {("_row", "_size", "_taken", "_time", "place")}
