@@ -12,6 +12,7 @@ from cellweft.llm.exact import equal_signatures
 from cellweft.llm.linking import connected
 from cellweft.llm.near import near_signatures
 from cellweft.llm.passages import cut_repeated_passages
+from cellweft.llm.queries import QUERIES
 
 GENES = ["CD8A", "sox2", "ACTA2", "Vim,", "ñandú", "EPCAM", "MKI67", "KRT5", "PECAM1", "cd4", "Foxp3", "GZMB", "LUM", "DCN", "ßeta"]
 SCHEMA = "lineage long, genes string, row string, node int, _text string, keys int"
@@ -156,6 +157,13 @@ def test_cut_repeated_passages(spark, texts, batches):
     assert got == sorted(plain.cut(texts), key=repr)
 
 
+def test_query_of_repeated_passages(spark):
+    folder = "/root/testdata/sf0.001"
+    documents = [tuple(r) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
+    got = listed(QUERIES["op3_repeated_passages"](spark, folder), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == sorted(plain.cut(documents), key=repr) and any(row[2] for row in got)
+
+
 def test_shared_with_projection(spark, texts):
     rng = random.Random(3)
     words = texts[6][1].split(" ")
